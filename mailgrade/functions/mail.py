@@ -17,7 +17,11 @@ DEADLINE = r"\b(?:deadline|due date|by \w+day|by eod|by end of)\b"
 DEADLINE_COMPACT = r"\b(?:deadline|due date|by \w+day|by eod)\b"
 ATTACHMENT = ("attachment", "attached", "please find", "enclosed")
 BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NON_BLANK = BLANK.replace("[", "[^", 1)
+# The complement, with the commonest range first because ranges are tried in order.
+NON_BLANK = (
+    r"[!-~\x00-\x08\x0e-\x1b\x7f-\x{84}\x{86}-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}"
+    r"\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}]"
+)
 RULE_CHARS, HORIZON_CHARS, EMBEDDING_CHARS = 500, 2000, 256
 BUCKETS = 32768
 

@@ -50,7 +50,10 @@ def _node(words: Iterable[str]) -> str:
             optional = True
     if not tails:
         return ""
-    return f"(?:{_alternatives(tails)})" + ("?" if optional else "")
+    body = _alternatives(tails)
+    if optional:
+        return f"(?:{body})?"
+    return body if len(tails) == 1 else f"(?:{body})"
 
 
 @lru_cache(maxsize=64)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .matching import let
 
 # What separates words, and which words count.
-SEPARATOR = r"[^\p{L}\p{N}_]+"
+SEPARATOR = r"[^a-z0-9_\p{L}\p{N}]+"
 WORD = "^[a-z][a-z0-9]+$"
 COMPACT_MIN = 2
 _LAST = 0x1F200  # last code point looked at; later ones fold to no ASCII word
@@ -59,7 +59,9 @@ def _covering_class(chars: Iterable[str]) -> str:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+    inner = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+    # The outer range turns most characters away at the first comparison.
+    return rf"[\x{{{ranges[0][0]:x}}}-\x{{{ranges[-1][1]:x}}}&&[{inner}]]"
 
 
 def fold_accents(value: Column) -> Column:
