@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from mailgrade import phrases as P
 from mailgrade.operators import selection
 from mailgrade.operators.features import COMPACT, META, NARROW, URGENCY
@@ -88,8 +90,13 @@ def _count(value: str, pattern: str) -> str:
     return f"len(regexp_extract_all({value}, '{pattern}'))"
 
 
+def _fence(ctes: str) -> str:
+    """Have each step computed once; merged steps repeat the phrase tests many times over."""
+    return re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", ctes)
+
+
 def _with(body: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join((MAIL, *ctes)) + "\n" + body
+    return "WITH " + _fence(",\n".join((MAIL, *ctes))) + "\n" + body
 
 
 def _whole(title: str) -> str:
@@ -124,21 +131,27 @@ def _scored(name: str, source: str, text: str) -> str:
     """Text scores s0..s3, shares p0..p3 and the rule class."""
     half, third = "CAST(0.5 AS DOUBLE)", "CAST(0.3 AS DOUBLE)"
     damp = "CASE WHEN is_far THEN CAST(0.15 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END"
-    return f"""{name} AS (
-SELECT *, {_argmax(*P4)} AS rule_class FROM (
-SELECT *, s0 / total AS p0, s1 / total AS p1, s2 / total AS p2, s3 / total AS p3 FROM (
-SELECT *, s0 + s1 + s2 + s3 AS total FROM (
+    return f"""{name}_raw AS (
+SELECT *, lower({text}) AS rt FROM {source}),
+{name}_hits AS (
+SELECT *, {_hits('rt', P.CRITICAL)} AS n_critical, {_hits('rt', P.HIGH)} AS n_high,
+ {_hits('rt', P.LOW)} AS n_low,
+ {_any('rt', P.DISTANT)} AND NOT {_any('rt', P.NEAR)} AS is_far FROM {name}_raw),
+{name}_scores AS (
 SELECT *,
- (2.0 * {_hits('rt', P.CRITICAL)} + CASE WHEN length(rt) - length(replace(rt, '!', '')) > 2
+ (2.0 * n_critical + CASE WHEN length(rt) - length(replace(rt, '!', '')) > 2
    THEN 1.0 ELSE 0.0 END)::DOUBLE * {damp} AS s0,
- ({_hits('rt', P.HIGH)}::DOUBLE + CASE WHEN contains(rt, '?') THEN {half} ELSE 0 END
+ (n_high::DOUBLE + CASE WHEN contains(rt, '?') THEN {half} ELSE 0 END
    + CASE WHEN starts_with(rt, 're:') THEN {third} ELSE 0 END) * {damp} AS s1,
  CASE WHEN is_far THEN CAST(2.8 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS s2,
- {_hits('rt', P.LOW)}::DOUBLE + CASE WHEN starts_with(rt, 'fw:') OR starts_with(rt, 'fwd:')
+ n_low::DOUBLE + CASE WHEN starts_with(rt, 'fw:') OR starts_with(rt, 'fwd:')
    THEN 1.0 ELSE 0.0 END AS s3
-FROM (
-SELECT *, {_any('rt', P.DISTANT)} AND NOT {_any('rt', P.NEAR)} AS is_far
-FROM (SELECT *, lower({text}) AS rt FROM {source}))))))"""
+FROM {name}_hits),
+{name}_shares AS (
+SELECT *, s0 / (s0 + s1 + s2 + s3) AS p0, s1 / (s0 + s1 + s2 + s3) AS p1,
+ s2 / (s0 + s1 + s2 + s3) AS p2, s3 / (s0 + s1 + s2 + s3) AS p3 FROM {name}_scores),
+{name} AS (
+SELECT *, {_argmax(*P4)} AS rule_class FROM {name}_shares)"""
 
 
 RULE_TEXT = "subject || ' ' || substr(body, 1, 500) || ' ' || sender"
@@ -147,13 +160,15 @@ RULE_TEXT = "subject || ' ' || substr(body, 1, 500) || ' ' || sender"
 def _classified(name: str = "ruled", source: str = "mail") -> str:
     raised = "(p0 + p1 + CAST(0.3 AS DOUBLE) + p2 + p3)"
     return _scored(f"{name}_text", source, RULE_TEXT) + f""",
+{name}_up AS (
+SELECT *, {_any('lower(sender)', P.CSUITE)} AND rule_class > 1 AS up FROM {name}_text),
 {name}_lifted AS (
 SELECT * EXCLUDE (p0, p1, p2, p3),
  CASE WHEN up THEN p0 / {raised} ELSE p0 END AS p0,
  CASE WHEN up THEN (p1 + CAST(0.3 AS DOUBLE)) / {raised} ELSE p1 END AS p1,
  CASE WHEN up THEN p2 / {raised} ELSE p2 END AS p2,
  CASE WHEN up THEN p3 / {raised} ELSE p3 END AS p3
-FROM (SELECT *, {_any('lower(sender)', P.CSUITE)} AND rule_class > 1 AS up FROM {name}_text)),
+FROM {name}_up),
 {name} AS (
 SELECT * EXCLUDE (p0, p1, p2, p3, rule_class),
  CASE WHEN junk THEN CAST(0.02 AS DOUBLE) ELSE p0 END AS p0,
@@ -178,10 +193,13 @@ def _downgraded(name: str, source: str, pred: str = "prediction") -> str:
     shares = ", ".join(
         f"CASE WHEN down THEN {m} / ({total}) ELSE p{i} END AS p{i}" for i, m in enumerate(mixed)
     )
-    return f"""{name} AS (
+    return f"""{name}_down AS (
+SELECT *, {pred} IN (0, 1) AND {_planning()} AS down FROM {source}),
+{name}_moved AS (
+SELECT * EXCLUDE (p0, p1, p2, p3), {shares} FROM {name}_down),
+{name} AS (
 SELECT * EXCLUDE ({pred}), CASE WHEN down THEN {_argmax(*P4)} ELSE {pred} END::INTEGER AS {pred}
-FROM (SELECT * EXCLUDE (p0, p1, p2, p3), {shares}
- FROM (SELECT *, {pred} IN (0, 1) AND {_planning()} AS down FROM {source})))"""
+FROM {name}_moved)"""
 
 
 STAND_IN = """stand_in AS (
@@ -597,8 +615,8 @@ FROM mail LEFT JOIN embeddings ON vec_id = id"""),
  round(s2, 6) AS normal_score, round(s3, 6) AS low_score, is_far, rule_class, {_round4()}
 FROM texts""", _scored("texts", "mail", RULE_TEXT)),
     "rule_classify": _with(f"SELECT id, rule_class, {_round4()} FROM ruled", _classified()),
-    "rule_transformer": f"""WITH {_scored('texts', 'documents', 'text')}
-SELECT doc_id, rule_class AS prediction, {_round4()} FROM texts""",
+    "rule_transformer": "WITH " + _fence(_scored("texts", "documents", "text"))
+    + f"\nSELECT doc_id, rule_class AS prediction, {_round4()} FROM texts",
     "rule_signals_top10": _with(
         """SELECT id, place::INTEGER AS place, signal, round(weight, 6) AS weight
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, ord) AS place FROM signals)
