@@ -733,7 +733,7 @@ FROM (SELECT coalesce(round(avg(confidence), 3), 0) AS avg_confidence FROM resul
         """SELECT id, message_id FROM mail
 WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""),
     "result_display": _with(
-        """SELECT id, round(round(c, 4) * 100, 1) AS percent,
+        """SELECT id, round(c * 100, 1) AS percent,
  CASE WHEN c >= 0.85 THEN 'success' WHEN c >= 0.75 THEN 'primary' WHEN c >= 0.65 THEN 'warning'
   ELSE 'danger' END AS band,
  CASE WHEN trim(body) = '' THEN '' WHEN length(body) > 200 THEN substr(body, 1, 197) || '...'

@@ -41,7 +41,13 @@ def duration_text(millis: Column) -> Column:
     return (
         F.when(millis.isNull(), F.lit("N/A"))
         .when(millis < 1000, F.format_string("%d ms", millis))
-        .otherwise(F.format_string("%.2f s", millis / F.lit(1000.0)))
+        # format_number rounds the stored binary value, format_string its decimal spelling.
+        .otherwise(
+            F.concat(
+                F.call_function("format_number", millis / F.lit(1000.0), F.lit("0.00")),
+                F.lit(" s"),
+            )
+        )
     )
 
 

@@ -16,7 +16,7 @@ import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPECIAL = set("\\.^$|?*+()[]{}#&- ")
@@ -75,6 +75,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that nothing later evaluates them a second time.
+
+    A filter on a projected column is moved below the projection together with a
+    copy of the column's expression, and an explode adds such a filter by itself.
+    Through a one-element generator, filters on the new columns stay above while
+    filters on the other columns still move down to the scan.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*(value.alias(name) for name, value in columns.items()))
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def constant(values: Sequence, kind: str = "string") -> Column:
     """A long constant array as a single literal, folded once when the plan is made."""
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")

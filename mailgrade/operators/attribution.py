@@ -6,8 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import constant
-from ..functions.probability import argmax
+from ..functions.matching import computed_once, constant
 from ..functions.vectors import parts
 from . import training
 from .sampling import sample_cap
@@ -33,9 +32,7 @@ def row_attribution(scored: DataFrame, model: PipelineModel, k: int = ROW_TOP) -
     weights = constant(_coefficients(_linear_part(model)), "array<double>")
     names = constant(training.vector_names(model))
     # The model's own class, before rules or horizon may have moved the prediction.
-    own = F.coalesce(F.col("model_class"), argmax(F.col("probability"))) if (
-        "model_class" in scored.columns
-    ) else argmax(F.col("probability"))
+    own = F.col("model_class") if "model_class" in scored.columns else F.col("prediction")
     ranked = F.sort_array(
         F.zip_with(
             F.col("_p.indices"), F.col("_p.values"),
@@ -49,11 +46,8 @@ def row_attribution(scored: DataFrame, model: PipelineModel, k: int = ROW_TOP) -
         F.slice(ranked, 1, k),
         lambda s: F.struct(F.get(names, s["idx"]).alias("name"), (-s["rank"]).alias("weight")),
     )
-    return (
-        scored.withColumns({"_p": parts("features"), "_class": own})
-        .withColumn("signals", signals)
-        .drop("_p", "_class")
-    )
+    looked_up = scored.withColumns({"_p": parts("features"), "_class": own})
+    return computed_once(looked_up, {"signals": signals}).drop("_p", "_class")
 
 
 def _cells(rows: DataFrame) -> DataFrame:

@@ -62,16 +62,13 @@ def rule_signals(df: DataFrame, book: P.PhraseBook = P.DEFAULT, k: int = TOP_SIG
     )
     strongest = F.slice(F.sort_array(F.concat(*parts, structural)), 1, k)
     every = book.critical + book.high + book.low
-    return (
-        df.withColumn("_hits", matching.found(M.signal_text(M.text("subject"), body), every))
-        .withColumn(
-            "signals",
-            F.transform(
-                strongest, lambda s: F.struct(s["name"].alias("name"), (-s["rank"]).alias("weight"))
-            ),
-        )
-        .drop("_hits")
+    with_hits = df.withColumn(
+        "_hits", matching.found(M.signal_text(M.text("subject"), body), every)
+    )
+    signals = F.transform(
+        strongest, lambda s: F.struct(s["name"].alias("name"), (-s["rank"]).alias("weight"))
     )
+    return matching.computed_once(with_hits, {"signals": signals}).drop("_hits")
 
 
 def signal_map(signals: Column) -> Column:

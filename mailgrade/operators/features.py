@@ -47,10 +47,9 @@ def mail_features(df: DataFrame, book: P.PhraseBook = P.DEFAULT) -> DataFrame:
     """Add the 15 meta and 6 urgency columns (:data:`FULL`)."""
     subject, body = F.col("subject"), F.col("body")
     hits, lowered = F.col("_hits"), F.col("_signal_text")
+    filled = with_defaults(df).withColumn("_signal_text", M.signal_text(subject, body))
     return (
-        with_defaults(df)
-        .withColumn("_signal_text", M.signal_text(subject, body))
-        .withColumn("_hits", matching.found(lowered, book.urgency))
+        matching.computed_once(filled, {"_hits": matching.found(lowered, book.urgency)})
         .withColumns(
             {
                 **_shared(),
@@ -73,10 +72,9 @@ def compact_features(df: DataFrame, book: P.PhraseBook = P.COMPACT) -> DataFrame
     """Add the 16 columns of the compact layout (:data:`COMPACT`)."""
     subject, body = F.col("subject"), F.col("body")
     hits, lowered = F.col("_hits"), F.col("_signal_text")
+    filled = with_defaults(df).withColumn("_signal_text", M.signal_text(subject, body))
     return (
-        with_defaults(df)
-        .withColumn("_signal_text", M.signal_text(subject, body))
-        .withColumn("_hits", matching.found(lowered, book.urgency))
+        matching.computed_once(filled, {"_hits": matching.found(lowered, book.urgency)})
         .withColumns(
             {
                 **_shared(),

@@ -46,11 +46,13 @@ def weak_label(df: DataFrame, book: P.PhraseBook = P.DEFAULT, whole_word: bool =
         .when(low, F.lit(LOW))
         .otherwise(F.lit(NORMAL))
     )
-    return (
-        df.withColumn("_label_text", M.label_text(M.text("subject"), M.text("body")))
-        .withColumn("priority", priority)
-        .drop("_label_text")
-    )
+    labelled = df.withColumn("_label_text", M.label_text(M.text("subject"), M.text("body")))
+    return matching.computed_once(labelled, {"priority": priority}).drop("_label_text")
+
+
+def _with_class(df: DataFrame, shares: str, name: str) -> DataFrame:
+    vector = F.col(shares)
+    return matching.computed_once(df, {shares: vector, name: pr.argmax(vector)})
 
 
 def rule_scores(df: DataFrame, text: Column, book: P.PhraseBook = P.DEFAULT) -> DataFrame:
@@ -79,7 +81,7 @@ def rule_scores(df: DataFrame, text: Column, book: P.PhraseBook = P.DEFAULT) ->
     )
     low = matching.count_among(hits, book.low).cast("double") + bonus(forwarded, 1.0)
     scores = F.array("critical_score", "high_score", "normal_score", "low_score")
-    return (
+    scored = (
         df.withColumn("_rule_text", F.lower(text))
         .withColumn("_rule_hits", matching.found(t, every))
         .withColumn("is_far", far)
@@ -92,9 +94,9 @@ def rule_scores(df: DataFrame, text: Column, book: P.PhraseBook = P.DEFAULT) ->
             }
         )
         .withColumn("rule_proba", pr.normalise(scores))
-        .withColumn("rule_class", pr.argmax(F.col("rule_proba")))
         .drop("_rule_text", "_rule_hits")
     )
+    return _with_class(scored, "rule_proba", "rule_class")
 
 
 def rule_classify(df: DataFrame, book: P.PhraseBook = P.DEFAULT) -> DataFrame:
@@ -109,10 +111,8 @@ def rule_classify(df: DataFrame, book: P.PhraseBook = P.DEFAULT) -> DataFrame:
     )
     lift = M.is_csuite(F.col("sender"), book.csuite) & (F.col("rule_class") > HIGH)
     junk = _in_folder(M.text("folder"), "spam", "junk") if "folder" in df.columns else F.lit(False)
-    return scored.withColumn(
-        "rule_proba",
-        F.when(junk, pr.shares(pr.JUNK)).when(lift, raised).otherwise(F.col("rule_proba")),
-    ).withColumn("rule_class", pr.argmax(F.col("rule_proba")))
+    final = F.when(junk, pr.shares(pr.JUNK)).when(lift, raised).otherwise(F.col("rule_proba"))
+    return _with_class(scored.withColumn("rule_proba", final), "rule_proba", "rule_class")
 
 
 def bump_urgency(df: DataFrame, model_used: str) -> DataFrame:
@@ -131,18 +131,15 @@ def bump_urgency(df: DataFrame, model_used: str) -> DataFrame:
         & (rule_share >= 0.45)
     )
     mixed = pr.blend(F.col("probability"), 0.55, F.col("rule_proba"), 0.45)
-    return (
-        df.withColumn("_raise", raise_it)
-        .withColumns(
-            {
-                "prediction": F.when(F.col("_raise"), F.col("rule_class")).otherwise(
-                    F.col("prediction")
-                ),
-                "probability": F.when(F.col("_raise"), mixed).otherwise(F.col("probability")),
-            }
-        )
-        .drop("_raise")
-    )
+    return matching.computed_once(
+        df.withColumn("_raise", raise_it),
+        {
+            "prediction": F.when(F.col("_raise"), F.col("rule_class")).otherwise(
+                F.col("prediction")
+            ),
+            "probability": F.when(F.col("_raise"), mixed).otherwise(F.col("probability")),
+        },
+    ).drop("_raise")
 
 
 def downgrade_far_horizon(df: DataFrame, book: P.PhraseBook = P.DEFAULT) -> DataFrame:
@@ -154,19 +151,12 @@ def downgrade_far_horizon(df: DataFrame, book: P.PhraseBook = P.DEFAULT) -> Data
         & ~matching.contains_any(text, book.near)
     )
     mixed = pr.blend(F.col("probability"), 0.38, pr.shares(pr.PLANNING), 0.62)
-    return (
-        df.withColumn("_planning", planning)
-        .withColumn(
-            "probability", F.when(F.col("_planning"), mixed).otherwise(F.col("probability"))
-        )
-        .withColumn(
-            "prediction",
-            F.when(F.col("_planning"), pr.argmax(F.col("probability"))).otherwise(
-                F.col("prediction")
-            ),
-        )
-        .drop("_planning")
-    )
+    moved = F.when(F.col("_planning"), mixed).otherwise(F.col("probability"))
+    own = F.when(F.col("_planning"), pr.argmax(F.col("_moved"))).otherwise(F.col("prediction"))
+    return matching.computed_once(
+        df.withColumn("_planning", planning).withColumn("_moved", moved),
+        {"prediction": own, "probability": F.col("_moved")},
+    ).drop("_planning", "_moved")
 
 
 class RulePriorityClassifier(Transformer, DefaultParamsReadable, DefaultParamsWritable):

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import mail as M
 from ..functions import terms as tm
-from ..functions.matching import constant, let
+from ..functions.matching import computed_once, constant, let
 from ..schema import MAX_TERMS
 
 # Document frequency limits of a vocabulary term.
@@ -144,13 +144,13 @@ class MailTfidfModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsWr
             norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w * w))
             return let(norm, lambda n: F.transform(weights, lambda w: w / n))
 
-        return (
-            counter.transform(dataset)
-            .withColumn("_counts", F.unwrap_udt("_counts"))
-            .withColumns({"_indices": F.col("_counts.indices"), "_tf": F.col("_counts.values")})
-            .withColumn("_weights", let(raw, unit))
-            .drop("_counts", "_tf")
+        counted = counter.transform(dataset).withColumn("_counts", F.unwrap_udt("_counts"))
+        arrays = counted.withColumns(
+            {"_indices": F.col("_counts.indices"), "_tf": F.col("_counts.values")}
         )
+        return computed_once(
+            arrays, {"_indices": F.col("_indices"), "_weights": let(raw, unit)}
+        ).drop("_counts", "_tf")
 
     def weights(self, dataset: DataFrame, *keys: str) -> DataFrame:
         """``(*keys, term, weight)``, one row per mail and vocabulary term in it."""

@@ -75,7 +75,7 @@ def logistic_regression(rows: int, c: float = 1.0, max_iter: int = 1000) -> Logi
     """Multinomial, L2. ``c`` weighs the loss of all rows, so it is spread over ``rows``."""
     return LogisticRegression(
         labelCol=LABEL, family="multinomial", regParam=1.0 / (c * rows), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, rawPredictionCol="raw_prediction",
+        standardization=False, maxIter=max_iter,
     )
 
 
@@ -83,7 +83,7 @@ def random_forest(trees: int = 200, depth: int = 30, min_leaf: int = 2) -> Rando
     """Class-balanced forest. Spark allows a depth of 30 at most."""
     return RandomForestClassifier(
         labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, seed=SEED, rawPredictionCol="raw_prediction",
+        minInstancesPerNode=min_leaf, seed=SEED,
         maxMemoryInMB=512,
     )
 
@@ -95,14 +95,14 @@ def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, rows: fl
         labelCol=LABEL, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
         featureSubsetStrategy=str(columns), seed=SEED,
     )
-    return OneVsRest(classifier=booster, labelCol=LABEL, rawPredictionCol="raw_prediction")
+    return OneVsRest(classifier=booster, labelCol=LABEL)
 
 
 def _shares(df: DataFrame) -> Column:
     if "probability" in df.columns:
         return vector_to_array("probability")
     # One booster per class: squash each margin and scale the results to sum to one.
-    raw = vector_to_array("raw_prediction")
+    raw = vector_to_array("rawPrediction")
     from ..functions.probability import normalise
 
     return normalise(F.transform(raw, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(m * -2.0))))

@@ -662,7 +662,7 @@ def result_display(spark, sf_dir):
     millis = (F.length("body") * 3).cast("int")
     return ruled.select(
         "id",
-        display.confidence_percent(F.round(confidence, 4)).alias("percent"),
+        display.confidence_percent(confidence).alias("percent"),
         display.accuracy_band(confidence).alias("band"),
         display.body_snippet(F.col("body")).alias("snippet"),
         display.short_text(F.col("subject"), 20).alias("subject_short"),

@@ -34,7 +34,7 @@ def score_probabilities(
     else:
         from ..operators import training
 
-        scored = training.predict(model, df)
+        scored = training.predict(model, df).withColumn("model_class", F.col("prediction"))
         if model_used in rules.TRAINED:
             scored = rules.bump_urgency(rules.rule_classify(scored, book), model_used).drop(
                 "rule_class", "rule_proba"
@@ -74,7 +74,7 @@ def score(
                 "model_used": F.lit(model_used),
             }
         )
-        .drop("signals", "prediction", "probability", "features", "raw_prediction")
+        .drop("signals", "prediction", "probability", "features", "model_class")
     )
 
 

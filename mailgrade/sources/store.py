@@ -16,12 +16,23 @@ def to_results(scored: DataFrame, created_at: str = "created_at") -> DataFrame:
     return scored.withColumn("created_at", F.col(created_at)).select(*RESULT_COLUMNS)
 
 
+def _write(results: DataFrame, path: str, mode: str) -> None:
+    """Rows of a day are brought together, so that a day is a few files and not one per task.
+
+    ``rebalance`` lets adaptive execution split a heavy day among several tasks.
+    """
+    (
+        results.hint("rebalance", F.col(_DAY))
+        .write.mode(mode)
+        .partitionBy(_DAY)
+        .parquet(path)
+    )
+
+
 def append(results: DataFrame, path: str) -> None:
     """Append the rows that are fit to be stored."""
     good, _ = split_store_quality(results)
-    good.withColumn(_DAY, F.to_date("created_at")).write.mode("append").partitionBy(_DAY).parquet(
-        path
-    )
+    _write(good.withColumn(_DAY, F.to_date("created_at")), path, "append")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -40,4 +51,4 @@ def delete(spark: SparkSession, path: str, target: str, deletes: DataFrame) -> N
     immutable, so the caller switches readers over to ``target``.
     """
     kept = without_deleted(read(spark, path), deletes)
-    kept.write.mode("errorifexists").partitionBy(_DAY).parquet(target)
+    _write(kept, target, "errorifexists")
