@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -129,7 +131,9 @@ def fit(
     """Fit on ``(label, features)`` rows, optionally after oversampling."""
     if smote:
         rows = oversample(rows, LABEL, key=key)
-    return estimator.fit(sampling.with_class_weight(rows, LABEL))
+    if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
+        rows = sampling.with_class_weight(rows, LABEL)
+    return estimator.fit(rows)
 
 
 def evaluate(model, rows: DataFrame) -> DataFrame:
@@ -139,22 +143,29 @@ def evaluate(model, rows: DataFrame) -> DataFrame:
 
 
 def cross_validate(
-    make: Callable[[int], Estimator], rows: DataFrame, k: int = FOLDS, key: str = "id"
+    make: Callable[[int], Estimator], rows: DataFrame, k: int = FOLDS, key: str = "id",
+    parallelism: int = FOLDS,
 ) -> DataFrame:
     """``(fold, accuracy, macro_f1)``; each fold is predicted by a model of the others.
 
-    Runs on the original rows, without oversampling.
+    Runs on the original rows, without oversampling. The folds are independent
+    and small jobs each, so several are submitted at a time.
     """
     folded = materialise(sampling.stratified_folds(rows, LABEL, key, k))
-    predictions = None
-    for fold in range(k):
-        train = folded.filter(F.col("fold") != fold)
-        model = fit(make(train.count()), train)
-        part = predict(model, folded.filter(F.col("fold") == fold)).select(
+    sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+
+    def predict_fold(fold: int) -> DataFrame:
+        model = fit(
+            make(sum(sizes.values()) - sizes.get(fold, 0)), folded.filter(F.col("fold") != fold)
+        )
+        return predict(model, folded.filter(F.col("fold") == fold)).select(
             "fold", F.col(LABEL).alias("y_true"), F.col("prediction").alias("y_pred")
         )
-        predictions = part if predictions is None else predictions.unionByName(part)
-    counts = metrics.confusion_counts(predictions, by=["fold"])
+
+    with ThreadPool(max(1, min(parallelism, k))) as pool:
+        run = inheritable_thread_target(rows.sparkSession)(predict_fold)
+        parts = pool.map(run, range(k))
+    counts = metrics.confusion_counts(reduce(DataFrame.unionByName, parts), by=["fold"])
     return metrics.accuracy_macro_f1(counts, ["fold"])
 
 

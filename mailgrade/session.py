@@ -53,3 +53,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     staging_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use idle cores when the input comes in fewer pieces than there are cores.
+
+    Text rules and tokenising are heavy per row, so a small file read as one or
+    two pieces would keep most cores waiting. A large input has far more pieces
+    than the cluster has cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Sender names, recipients and subjects by id modulo coprime numbers.
 _SENDERS = ("ceo", "director", "noreply", "no-reply")
 _RECIPIENTS = ("", "a@x.example", "a@x.example, b@y.example",
@@ -55,7 +57,8 @@ def _as_mail(documents: DataFrame, events: DataFrame) -> DataFrame:
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, message_id, sender, recipients, cc, bcc, subject, body, date, folder)``."""
-    return _as_mail(table(spark, sf_dir, "documents"), table(spark, sf_dir, "events"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return _as_mail(spread(documents), table(spark, sf_dir, "events"))
 
 
 def mail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
