@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Accepted spellings, tried in this order after clean-up.
 ZONE = r"\s*(?:[+-]\d{2}:?\d{2}|\b(?:Z|UT|UTC|GMT|EST|EDT|CST|CDT|MST|MDT|PST|PDT))\s*$"
+MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 FORMATS = (
     "d MMM yyyy H:mm:ss", "d MMM yyyy H:mm", "d MMM yyyy",
     "MMM d yyyy H:mm:ss", "MMM d yyyy H:mm", "MMM d yyyy",
@@ -20,6 +21,7 @@ def local_time(header: Column) -> Column:
     value = F.regexp_replace(value, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     value = F.regexp_replace(value, ZONE, "")
     value = F.regexp_replace(F.regexp_replace(value, r"(?<=[A-Za-z\d]),", ""), r"\s+", " ")
+    value = F.regexp_replace(value, MONTH, "$1")
     iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), value)
     spelled = [
         F.try_to_timestamp(value, F.lit(fmt)).cast("timestamp_ntz") for fmt in FORMATS

@@ -14,7 +14,7 @@ from .matching import let
 
 # What separates words, and which words count.
 SEPARATOR = r"[^a-z0-9_\p{L}\p{N}]+"
-WORD = "^[a-z][a-z0-9]+$"
+WORD = "^[a-zA-Z][a-zA-Z0-9]+$"
 COMPACT_MIN = 2
 _LAST = 0x1F200  # last code point looked at; later ones fold to no ASCII word
 
@@ -64,23 +64,57 @@ def _covering_class(chars: Iterable[str]) -> str:
     return rf"[\x{{{ranges[0][0]:x}}}-\x{{{ranges[-1][1]:x}}}&&[{inner}]]"
 
 
-def fold_accents(value: Column) -> Column:
-    """Strip accents. Pure ASCII text, by far the most, is passed through untouched."""
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
+def _fold(text: Column) -> Column:
+    """Compatibility folding of a whole text."""
     single_from, single_to, dropped, longer = accent_table()
-    table = single_from + dropped, single_to
     pairs = F.from_json(
         F.lit(_json_pairs(longer)), "array<struct<char:string,folded:string>>"
     )
+    expanded = F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["char"], p["folded"]))
     rare = _covering_class(char for char, _ in longer)
+    spelled = F.when(text.rlike(rare), expanded).otherwise(text)
+    return F.translate(spelled, single_from + dropped, single_to)
+
+
+def _in_word(char: str) -> bool:
+    return char == "_" or unicodedata.category(char)[0] in "LN"
+
+
+@lru_cache(maxsize=1)
+def _moves_boundaries() -> str:
+    """Class of the characters whose folding can join or split words."""
+    single_from, single_to, dropped, longer = accent_table()
+    moved = [a for a, b in zip(single_from, single_to) if _in_word(a) != _in_word(b)]
+    return _covering_class([*moved, *dropped, *(char for char, _ in longer)])
+
 
-    def fold(text: Column) -> Column:
-        expanded = F.aggregate(
-            pairs, text, lambda acc, p: F.replace(acc, p["char"], p["folded"])
+def folded_words(value: Column) -> Column:
+    """Split into words with accents folded.
+
+    ASCII text, by far the most, is only split. Folding the accents of a text
+    that has some is costly per character, so it is done on the words that hold
+    any, unless the text has one of the rare characters that move word
+    boundaries; then the whole text is folded first.
+    """
+    single_from, single_to, dropped, _ = accent_table()
+
+    def split(text: Column) -> Column:
+        by_word = F.transform(
+            F.split(text, SEPARATOR),
+            lambda w: F.when(
+                w.rlike(NOT_ASCII), F.translate(w, single_from + dropped, single_to)
+            ).otherwise(w),
+        )
+        return (
+            F.when(~text.rlike(NOT_ASCII), F.split(text, SEPARATOR))
+            .when(text.rlike(_moves_boundaries()), F.split(_fold(text), SEPARATOR))
+            .otherwise(by_word)
         )
-        spelled = F.when(text.rlike(rare), expanded).otherwise(text)
-        return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(spelled, *table)).otherwise(text)
 
-    return let(value, fold)
+    return let(value, split)
 
 
 def _json_pairs(pairs) -> str:
@@ -95,7 +129,7 @@ def words(value: Column, compact: bool = False) -> Column:
     """
     if compact:
         return F.filter(F.split(F.lower(value), SEPARATOR), lambda w: F.length(w) >= COMPACT_MIN)
-    return F.filter(F.split(fold_accents(F.lower(value)), SEPARATOR), lambda w: w.rlike(WORD))
+    return F.filter(folded_words(F.lower(value)), lambda w: w.rlike(WORD))
 
 
 def words_and_bigrams(tokens: Column) -> Column:

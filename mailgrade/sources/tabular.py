@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import MAIL, RAW_COLUMNS
 
-_QUOTED = {"quote": '"', "escape": '"', "header": True}
+_QUOTED = {
+    "quote": '"', "escape": '"', "header": True,
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema=MAIL) -> DataFrame:
