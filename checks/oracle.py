@@ -454,13 +454,17 @@ SELECT {keys}, term, count(*) AS tf FROM (
  FROM {name}_words WHERE len(w) > 1) GROUP BY ALL)"""
 
 
-VOCABULARY = f"""{_terms('terms', 'mail', 'id')},
+def _vocabulary(size: int = 5000) -> str:
+    return f"""{_terms('terms', 'mail', 'id')},
 vocabulary AS (
 SELECT (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx, term, df, cf,
  ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf
 FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, (SELECT count(*) FROM mail) AS n
   FROM terms GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * n
-  ORDER BY cf DESC, term LIMIT 5000))"""
+  ORDER BY cf DESC, term LIMIT {size}))"""
+
+
+VOCABULARY = _vocabulary()
 
 
 def _weights(terms: str, keys: str) -> str:
@@ -788,6 +792,16 @@ FROM mail"""),
 FROM results""", *RESULTS),
     "stream_counts": _with(
         "SELECT priority, count(*) AS n FROM results GROUP BY priority", *ALL_RESULTS),
+    "smote_counts": _with(
+        """SELECT priority, count(*) AS before, max(count(*)) OVER () AS after FROM labelled
+GROUP BY priority""", _labelled()),
+    "feature_matrix": _with(
+        f"""SELECT id, {len(NARROW)} + 64 + (SELECT count(*) FROM vocabulary)::INTEGER AS width,
+ ({" + ".join(f"({c} <> 0)::INTEGER" for c in NARROW)} + coalesce(n, 0)
+  + coalesce(len(list_filter(embedding, lambda v: v <> 0)), 0))::INTEGER AS filled
+FROM features LEFT JOIN (SELECT id, count(*) AS n FROM terms JOIN vocabulary USING (term) GROUP BY id)
+ USING (id) LEFT JOIN (SELECT vec_id AS id, embedding FROM embeddings) USING (id)""",
+        FEATURES, _vocabulary(500)),
     "stream_dedup": _with(
         "SELECT id, message_id, subject FROM mail WHERE date IS NOT NULL"),
 }

@@ -917,7 +917,8 @@ def feature_matrix(spark, sf_dir):
     )
     model = training.feature_pipeline(max_terms=TERMS, embeddings=True).fit(mail)
     return model.transform(mail).withColumn("p", parts("features")).select(
-        "id", F.col("p.size").alias("width"), F.size("p.indices").alias("filled")
+        "id", F.col("p.size").alias("width"),
+        F.size(F.filter("p.values", lambda v: v != 0)).alias("filled"),
     )
 
 
