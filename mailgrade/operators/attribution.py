@@ -29,8 +29,9 @@ def row_attribution(scored: DataFrame, model: PipelineModel, k: int = ROW_TOP) -
     The terms are ranked inside the row; the coefficients are a constant of
     classes x features.
     """
-    weights = constant(_coefficients(_linear_part(model)), "array<double>")
-    names = constant(training.vector_names(model))
+    linear = _linear_part(model)
+    weights = constant(_coefficients(linear), "array<double>")
+    names = constant(training.vector_names(model, linear.numFeatures))
     # The model's own class, before rules or horizon may have moved the prediction.
     own = F.col("model_class") if "model_class" in scored.columns else F.col("prediction")
     ranked = F.sort_array(

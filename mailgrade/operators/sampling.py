@@ -5,7 +5,8 @@ window would put the class into one task, so only the *cut points* are ranked:
 rows are counted per hash bucket, the bucket that holds a cut is found from the
 running counts, and just that bucket (about 1/65536 of a class) is ordered. The
 split itself is then a comparison with a handful of broadcast hash values; the
-data is never shuffled.
+data is never shuffled. Rows with the same id always fall on the same side, so
+sizes are exact where ids are unique.
 """
 
 from __future__ import annotations
@@ -51,11 +52,18 @@ def rank_cuts(
         .filter((F.col("_r") <= F.col("_upto")) & (F.col("_r") > F.col("_upto") - F.col("_n")))
         .select(*by, "_bucket", "_i", (F.col("_r") - F.col("_upto") + F.col("_n")).alias("_within"))
     )
-    inside = Window.partitionBy(*by, "_bucket", "_i").orderBy("_key")
+    # Equal keys (repeated ids) are merged before they are ordered, so they cost one row.
+    inside = (
+        Window.partitionBy(*by, "_bucket", "_i").orderBy("_key")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     return (
         keyed.join(F.broadcast(targets), [*by, "_bucket"])
-        .withColumn("_place", F.row_number().over(inside))
-        .filter("_place = _within")
+        .groupBy(*by, "_bucket", "_i", "_within", "_key")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_place", F.sum("_n").over(inside))
+        .filter((F.col("_place") >= F.col("_within"))
+                & (F.col("_place") - F.col("_n") < F.col("_within")))
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(F.struct("_i", "_key"))).alias("_cuts"))
         .select(*by, F.col("_cuts._key").alias("cuts"))

@@ -7,7 +7,7 @@ their columns cannot drift apart.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -31,7 +31,7 @@ from ..session import materialise
 from . import features as ft
 from . import metrics, sampling
 from .smote import smote as oversample
-from .tfidf import MailTfidf, with_terms
+from .tfidf import MailTfidf, MailTfidfModel, with_terms
 
 LABEL = "priority"
 
@@ -217,7 +217,12 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def vector_names(features: PipelineModel, layout: Sequence[str] = ft.NARROW) -> list[str]:
-    """Names of the vector's positions: layout columns, then vocabulary terms."""
-    tfidf = next(s for s in features.stages if hasattr(s, "terms"))
-    return [*layout, *tfidf.getOrDefault(tfidf.terms)]
+def vector_names(features: PipelineModel, size: int = 0) -> list[str]:
+    """Names of the vector's positions: layout columns, vocabulary terms, embedding dimensions.
+
+    ``size`` is the length of the vector, needed only when it ends in an embedding.
+    """
+    columns = next(s for s in features.stages if isinstance(s, MailColumns))
+    tfidf = next(s for s in features.stages if isinstance(s, MailTfidfModel))
+    names = [*LAYOUTS[columns.getOrDefault(columns.layout)], *tfidf.getOrDefault(tfidf.terms)]
+    return names + [f"embedding_{i}" for i in range(size - len(names))]

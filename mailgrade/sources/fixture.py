@@ -63,10 +63,15 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same view with the documents read as a stream."""
-    schema = table(spark, sf_dir, "documents").schema
+    static = table(spark, sf_dir, "documents")
     documents = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+        spark.readStream.schema(static.schema)
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf_dir)
     )
+    cores = spark.sparkContext.defaultParallelism
+    if static.rdd.getNumPartitions() < cores:  # see session.spread
+        documents = documents.repartition(cores)
     return _as_mail(documents, table(spark, sf_dir, "events"))
 
 

@@ -366,3 +366,22 @@ def test_json_requests_are_scored_once_as_they_arrive(spark, sf_dir, tmp_path):
     batch = scoring.score(mail).groupBy("priority").count().collect()
     live = spark.read.parquet(out).groupBy("priority").count().collect()
     assert sorted(map(tuple, batch)) == sorted(map(tuple, live))
+
+
+def test_cuts_survive_a_hot_id(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("id"), F.lit(0).alias("priority")
+    )
+    split = sampling.stratified_split(rows).groupBy("id").agg(F.countDistinct("is_test").alias("n"))
+    assert split.filter("n > 1").count() == 0
+    assert sampling.sample_cap(rows, 100).count() in (*range(95, 101), *range(1000, 1101))
+
+
+def test_other_layouts(spark, sf_dir, labelled):
+    from mailgrade.operators import embeddings
+
+    mail = embeddings.join_embeddings(labelled, fx.embeddings(spark, sf_dir), 64)
+    built = training.feature_pipeline("compact", 50, embeddings=True).fit(mail)
+    size = built.transform(mail).first()["features"].size
+    names = training.vector_names(built, size)
+    assert len(names) == size == 16 + 50 + 64 and names[:2] == ["recipient_count", "has_cc"]
