@@ -39,7 +39,9 @@ def ingest(
     """``(mail table, rejects)`` from ``(path, content)`` rows.
 
     A cap samples the *files* by path before anything is parsed. Duplicates are
-    removed after labelling; the first by path stays.
+    removed after labelling; the first by path stays. Both results are lazy and
+    parse for themselves; where both are needed, write ``parse_messages`` out
+    first and split what was written.
     """
     if max_mails:
         files = sampling.sample_cap(files, max_mails, key="path")

@@ -31,11 +31,16 @@ def staging_dir(spark: SparkSession) -> str:
     driver and executors are one process on one machine.
     """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir")
+        or sc.getCheckpointDir()
+    )
     if root is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="mailgrade-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
