@@ -62,6 +62,12 @@ def pattern(phrases: tuple[str, ...]) -> str:
     return _node(phrases)
 
 
+@lru_cache(maxsize=64)
+def _prefixes(phrases: tuple[str, ...]) -> tuple[str, ...]:
+    """The phrases another phrase begins with."""
+    return tuple(p for p in phrases if any(q != p and q.startswith(p) for q in phrases))
+
+
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     """True when any phrase occurs anywhere in ``text`` (no word boundaries)."""
     return text.rlike(pattern(tuple(phrases)))
@@ -99,7 +105,7 @@ def found(text: Column, phrases: Sequence[str]) -> Column:
     hits = F.array_distinct(
         F.regexp_extract_all(text, F.lit(f"(?=({pattern(phrases)}))"), 1)
     )
-    hidden = [p for p in phrases if any(q != p and q.startswith(p) for q in phrases)]
+    hidden = _prefixes(phrases)
     if not hidden:
         return hits
     return let(
