@@ -10,6 +10,9 @@ from mailgrade.llm.common import stored
 STAGES = [
     ("language_id", stages.known_language),
     ("simhash_near_dedup", stages.one_of_each),
+    ("benchmark_decontamination", stages.uncontaminated),
+    ("pii_surrogates", stages.without_personal_data),
+    ("best_fit_packing", stages.sequences),
 ]
 
 #: Hashing, training and packing have no SQL form; tests/llm holds the brute-force version.

@@ -61,3 +61,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8 bytes, null as empty."""
     return pc.fill_null(batch.column(column).cast(pa.binary()), b"").to_pylist()
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Add costly columns that later steps refer to many times.
+
+    A one-element generator keeps the optimizer from copying the expression into each place
+    that uses it, above all into the body of a function that runs once per array element.
+    """
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df

@@ -31,6 +31,8 @@ GRAMS = (1, 2, 3, 4)
 #: Labelled snippets used for training, over all languages, and their length in characters.
 SAMPLE, SNIPPET = 6000, 400
 EPOCHS, RATE, BATCH = 6, 0.5, 32
+#: A small sample is gone through more often, until there have been so many steps.
+LEAST_STEPS = 400
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
 
@@ -73,7 +75,7 @@ class Model:
         """Softmax of the mean scores; a row of zeros for a text without letters."""
         out = np.zeros((len(texts), len(self.languages)))
         rows = [i for i, t in enumerate(texts) if t]
-        if rows:
+        if rows and self.languages:
             logits = _mean(self.scores, *subwords([texts[i] for i in rows])) + self.bias
             out[rows] = _softmax(logits / self.temperature)
         return out
@@ -107,8 +109,10 @@ def fit(texts: list[str], labels: list[str], held_back: list[bool], seed: int =
     embedding[-1] = 0
     weights = np.zeros((DIM, len(names)), np.float32)
     bias = np.zeros(len(names))
-    steps, done = max(1, EPOCHS * -(-len(train) // BATCH)), 0
-    for epoch in range(EPOCHS):
+    per_epoch = max(1, -(-len(train) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch)) if len(train) else 0
+    steps, done = max(1, epochs * per_epoch), 0
+    for epoch in range(epochs):
         for chosen in np.split(rng.permutation(train), range(BATCH, len(train), BATCH)):
             if not len(chosen):
                 continue

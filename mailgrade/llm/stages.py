@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailgrade.llm import langid, simhash
+from mailgrade.llm import langid, packing, pii, simhash, winnow
+from mailgrade.llm.common import text_key
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +19,25 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id; of rows with one id the first by text."""
     groups = simhash.near_duplicates(docs)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.col("text"))
+    first = Window.partitionBy("doc_id").orderBy("text")
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     return rows.withColumn("nth_", F.row_number().over(first)).filter("nth_ = 1").select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = winnow.hits(docs, items).select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (text_key(F.col("text")) == F.col("hit_key"))
+    return docs.join(found, same, "left_anti").select(*docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with surrogates for personal data; n_chars follows the new text."""
+    done = pii.redact(docs, keep=docs.columns)
+    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents' pieces with their place in training sequences."""
+    return packing.packed(docs)
