@@ -32,7 +32,8 @@ def _sums(digest: str, first: str, shingle: str) -> list[Column]:
         F.sum(F.when(F.col(first), F.shiftrightunsigned(F.xxhash64(digest, F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(MODULUS - 1)))).alias(f"e{i}")
         for i in range(EXACT)
     ]
-    word = lambda k: F.col(shingle) if k == 0 else F.xxhash64(shingle, F.lit(k))
+    one = F.col(shingle)
+    word = lambda k: one if k == 0 else F.when(one.isNotNull(), F.xxhash64(one, F.lit(k)))
     pairs = [
         F.sum(F.shiftrightunsigned(word(k), j).bitwiseAND(F.lit(_PAIR))).alias(f"p{k}_{j}")
         for k in range(LANES // 64)
