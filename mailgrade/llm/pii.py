@@ -39,8 +39,8 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}",
     "name": r"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sra|Sr)\.|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа|Κύριος|Κυρία) \p{Lu}\p{Ll}+(?:[ \-]\p{Lu}\p{Ll}+){0,2}",
 }
-#: Mentions begin and end at a token's border.
-ANY = r"(?<![\p{L}\p{N}_@])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![\p{L}\p{N}_@])"
+#: Mentions begin and end at a token's border; decimals of a number are no mention.
+ANY = r"(?<![\p{L}\p{N}_@])(?<!\d[.,])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![\p{L}\p{N}_@])"
 
 _MALE = r"^(?:Mr\.|Sr\.|Herr|Monsieur|Señor|Господин|Κύριος) "
 _FEMALE = r"^(?:Mrs\.|Ms\.|Sra\.|Frau|Madame|Señora|Госпожа|Κυρία) "
@@ -82,6 +82,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     canon = (
         F.when(F.col("kind").isin("phone", "card", "ssn"), F.regexp_replace("piece", r"\D", ""))
         .when(F.col("kind") == "iban", F.regexp_replace("piece", " ", ""))
+        .when((F.col("kind") == "secret") & ~F.regexp("piece", F.lit("^[0-9a-fA-F]+$")), F.col("piece"))
         .when(F.col("kind").isin("email", "secret", "ipv6", "name"), F.lower(bare))
         .otherwise(F.col("piece"))
     )
