@@ -8,6 +8,9 @@ from mailgrade import phrases as P
 from mailgrade.operators import selection
 from mailgrade.operators.features import COMPACT, META, NARROW, URGENCY
 
+# Word borders over all letters, marks and digits; \\b knows ASCII only.
+_EDGE_BEFORE, _EDGE_AFTER = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"
+
 MAIL = """mail AS (
 SELECT d.doc_id AS id,
  '<' || CAST(d.doc_id AS STRING) || '@' || d.source || '.example>' AS message_id,
@@ -410,9 +413,9 @@ SELECT *,
  {_count('lower(subject)', 'fw[d]?:')}::INTEGER AS forward_count,
  ({_hits('st', P.CRITICAL)} + {_hits('st', P.HIGH)})::INTEGER AS urgency_keyword_count,
  ({_hits('st', P.COMPACT_CRITICAL)} + {_hits('st', P.COMPACT_HIGH)})::INTEGER AS urgency_kw_count,
- regexp_matches(st, '\\b(?:deadline|due date|by \\w+day|by eod|by end of)\\b')::INTEGER
+ regexp_matches(st, '{_EDGE_BEFORE}(?:deadline|due date|by [\\p{{L}}\\p{{M}}\\p{{N}}_]+day|by eod|by end of){_EDGE_AFTER}')::INTEGER
    AS has_deadline,
- regexp_matches(st, '\\b(deadline|due date|by \\w+day|by eod)\\b')::INTEGER AS short_deadline,
+ regexp_matches(st, '{_EDGE_BEFORE}(?:deadline|due date|by [\\p{{L}}\\p{{M}}\\p{{N}}_]+day|by eod){_EDGE_AFTER}')::INTEGER AS short_deadline,
  contains(body, '?')::INTEGER AS has_question,
  (length(body) - length(replace(body, '!', '')))::INTEGER AS exclamation_count,
  greatest({_count('lower(subject)', 're[[:space:]]*:')},
@@ -722,7 +725,7 @@ FROM published JOIN decided USING (model)""", *_candidates()),
 FROM (SELECT unnest(['critical', 'high', 'normal', 'low']) AS priority) l
 LEFT JOIN mail_dirty d USING (priority) GROUP BY l.priority""", MAIL_DIRTY),
     "priority_scope": _with(
-        "SELECT id, priority FROM mail_dirty WHERE priority IN ('critical', 'high')", MAIL_DIRTY),
+        "SELECT id, priority FROM mail_dirty WHERE priority IN ('critical', 'high', 'normal', 'low')", MAIL_DIRTY),
     "priority_share": _with(
         """SELECT priority, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS percent
 FROM results GROUP BY priority""", *ALL_RESULTS),
@@ -776,11 +779,19 @@ FROM mail_dirty WHERE id % 100 = 11 OR (sender = '' AND subject = '')""", MAIL_D
 FROM mail"""),
     "batch_requests": _with(
         """SELECT request_id, count(*) AS total, count(*) FILTER (error IS NULL) AS successful,
- count(error) AS failed FROM rows GROUP BY request_id""", MAIL_DIRTY, REQUESTS),
+ count(error) AS failed, CAST(NULL AS VARCHAR) AS request_error FROM rows GROUP BY request_id
+UNION ALL SELECT request_id || suffix, 0, 0, 0, reason
+ FROM (SELECT DISTINCT request_id FROM rows WHERE request_id::BIGINT % 9 = 0), (VALUES
+  ('-none', 'Request must contain an ''emails'' array.'),
+  ('-empty', '''emails'' must be a non-empty list.')) AS t(suffix, reason)""", MAIL_DIRTY, REQUESTS),
     "batch_scores": _with(
         f"""SELECT request_id, index, error, CASE WHEN error IS NULL THEN {_name('prediction')} END
  AS priority, CASE WHEN error IS NULL THEN round(CASE prediction WHEN 0 THEN p0 WHEN 1 THEN p1
-  WHEN 2 THEN p2 ELSE p3 END, 6) END AS confidence FROM scored""",
+  WHEN 2 THEN p2 ELSE p3 END, 6) END AS confidence FROM scored
+UNION ALL SELECT request_id || suffix, NULL, reason, NULL, NULL
+ FROM (SELECT DISTINCT request_id FROM rows WHERE request_id::BIGINT % 9 = 0), (VALUES
+  ('-none', 'Request must contain an ''emails'' array.'),
+  ('-empty', '''emails'' must be a non-empty list.')) AS t(suffix, reason)""",
         MAIL_DIRTY, REQUESTS, "asked AS (SELECT *, '' AS folder FROM rows)",
         _classified("ruled", "asked"),
         "starting AS (SELECT *, rule_class AS prediction FROM ruled)",
@@ -803,5 +814,5 @@ FROM features LEFT JOIN (SELECT id, count(*) AS n FROM terms JOIN vocabulary USI
  USING (id) LEFT JOIN (SELECT vec_id AS id, embedding FROM embeddings) USING (id)""",
         FEATURES, _vocabulary(500)),
     "stream_dedup": _with(
-        "SELECT id, message_id, subject FROM mail WHERE date IS NOT NULL"),
+        "SELECT id, message_id, subject FROM mail"),
 }

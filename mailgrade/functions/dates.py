@@ -29,6 +29,22 @@ def local_time(header: Column) -> Column:
     return F.coalesce(iso.try_cast("timestamp_ntz"), *spelled)
 
 
+#: Hours and minutes of zones that a header may name. Fixed values.
+NAMED_ZONES = {"Z": "+00:00", "UT": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00",
+               "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00"}
+
+
+def iso_text(moment: Column, header: Column) -> Column:
+    """The moment in ISO form with the offset the header writes; null without a moment."""
+    bare = F.trim(F.regexp_replace(F.coalesce(header, F.lit("")), r"\([^)]*\)", ""))
+    number = F.regexp_extract(bare, r"([+-]\d{2}):?(\d{2})$", 0)
+    named = F.create_map(*[F.lit(x) for pair in NAMED_ZONES.items() for x in pair])
+    offset = F.when(number == "-0000", "").when(
+        number != "", F.concat(F.substring(number, 1, 3), F.lit(":"), F.substring(number, -2, 2))
+    ).otherwise(F.coalesce(F.try_element_at(named, F.regexp_extract(bare, r"[A-Z]+$", 0)), F.lit("")))
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
 def hour_of_day(moment: Column) -> Column:
     return F.coalesce(F.hour(moment), F.lit(-1))
 

@@ -12,9 +12,9 @@ from . import matching
 # Patterns, markers and sizes that decide results.
 ADDRESS = r"(?U)[\w.\-+]+@[\w.\-]+"
 DOMAIN = r"(?U)@([\w.\-]+)"
-PREFIX = r"^(re|fw|fwd)\s*:\s*"
-DEADLINE = r"\b(?:deadline|due date|by \w+day|by eod|by end of)\b"
-DEADLINE_COMPACT = r"\b(?:deadline|due date|by \w+day|by eod)\b"
+PREFIX = r"(?U)^(re|fw|fwd)\s*:\s*"
+DEADLINE = r"(?U)\b(?:deadline|due date|by \w+day|by eod|by end of)\b"
+DEADLINE_COMPACT = r"(?U)\b(?:deadline|due date|by \w+day|by eod)\b"
 ATTACHMENT = ("attachment", "attached", "please find", "enclosed")
 BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # The complement, with the commonest range first because ranges are tried in order.
@@ -175,8 +175,9 @@ def is_csuite(sender: Column, titles=P.CSUITE, whole_word: bool = False) -> Colu
 def folder_from_path(path: Column, root: str) -> Column:
     """Folder of a message file below ``root``: the parts between user and file name."""
     base = root.rstrip("/") + "/"
-    inside = F.contains(path, F.lit(base))
-    parts = F.split(F.substring_index(path, base, -1), "/")
+    at = F.locate(base, path)  # the first one: a folder below may have the root's name again
+    inside = at > 0
+    parts = F.split(F.substr(path, at + F.lit(len(base))), "/")
     depth = F.size(parts)
     return (
         F.when(inside & (depth >= 3), F.array_join(F.slice(parts, 2, F.greatest(depth - 2, F.lit(1))), "/"))

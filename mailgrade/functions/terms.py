@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
@@ -16,7 +17,6 @@ from .matching import let
 SEPARATOR = r"[^a-z0-9_\p{L}\p{N}]+"
 WORD = "^[a-zA-Z][a-zA-Z0-9]+$"
 COMPACT_MIN = 2
-_LAST = 0x1F200  # last code point looked at; later ones fold to no ASCII word
 
 
 @lru_cache(maxsize=1)
@@ -30,7 +30,7 @@ def accent_table() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     a word.
     """
     single_from, single_to, dropped, longer = [], [], [], []
-    for code in range(0x80, _LAST):
+    for code in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)

@@ -12,7 +12,6 @@ from . import training
 from .sampling import sample_cap
 
 ROW_TOP, GLOBAL_TOP = 10, 20
-SAMPLE_ROWS, BACKGROUND_ROWS = 200, 100
 
 
 def _linear_part(model: PipelineModel):
@@ -61,11 +60,11 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 def global_attribution(
     rows: DataFrame, classifier, names: list[str], key: str = "id", k: int = GLOBAL_TOP,
-    sample_rows: int = SAMPLE_ROWS, background_rows: int = BACKGROUND_ROWS,
+    sample_rows: int | None = None, background_rows: int | None = None,
 ) -> DataFrame:
     """``(name, weight)``: mean ``|coefficient * (value - background mean)|``, k largest.
 
-    The mean runs over sample rows and classes. A feature that is 0 in a row still
+    The means run over all rows, or over samples of the sizes asked for, and over classes. A feature that is 0 in a row still
     deviates from its background mean, which is added in closed form.
     """
     spark = rows.sparkSession
@@ -74,10 +73,10 @@ def global_attribution(
     table = spark.createDataFrame(
         list(zip(range(len(names)), names, mean_size)), "idx int, name string, size double"
     )
-    background = sample_cap(rows, background_rows, key)
-    sample = sample_cap(rows, sample_rows, key, seed=7)
-    n_background = min(background_rows, rows.count())
-    n_sample = min(sample_rows, rows.count())
+    n = rows.count()
+    background = rows if background_rows is None else sample_cap(rows, background_rows, key)
+    sample = rows if sample_rows is None else sample_cap(rows, sample_rows, key, seed=7)
+    n_background, n_sample = min(background_rows or n, n), min(sample_rows or n, n)
     # One row per feature from here on.
     means = _cells(background).groupBy("idx").agg(
         (F.sum("value") / F.lit(n_background)).alias("mean")

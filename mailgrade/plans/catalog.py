@@ -233,7 +233,7 @@ def conversation_threads(spark, sf_dir):
 @query
 def text_clamps(spark, sf_dir):
     subject, body = F.col("subject"), F.col("body")
-    return fx.mail(spark, sf_dir).select(
+    return fx.mail_text(spark, sf_dir).select(
         "id",
         F.md5(M.label_text(subject, body)).alias("label_text"),
         F.md5(M.signal_text(subject, body, M.HORIZON_CHARS)).alias("horizon_text"),
@@ -255,7 +255,7 @@ def phrase_membership(spark, sf_dir):
     text = M.signal_text(F.col("subject"), F.col("body"))
     book = rules.P.DEFAULT
     lists = ("critical", "high", "low", "distant", "near")
-    return fx.mail(spark, sf_dir).withColumn("t", text).select(
+    return fx.mail_text(spark, sf_dir).withColumn("t", text).select(
         "id",
         *(matching.contains_any(F.col("t"), getattr(book, n)).alias(n) for n in lists),
     )
@@ -293,7 +293,7 @@ def feature_narrow(spark, sf_dir):
 
 @query
 def feature_names(spark, sf_dir):
-    docs = tfidf.with_terms(fx.mail(spark, sf_dir))
+    docs = tfidf.with_terms(fx.mail_text(spark, sf_dir))
     return features.feature_names(tfidf.vocabulary(docs, docs.count()))
 
 
@@ -301,7 +301,7 @@ def feature_names(spark, sf_dir):
 def tokenise(spark, sf_dir):
     text = F.concat("subject", F.lit(" "), "body")
     return (
-        fx.mail(spark, sf_dir)
+        fx.mail_text(spark, sf_dir)
         .select("id", tm.words(text).alias("w"), tm.words(text, compact=True).alias("c"))
         .select(
             "id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words"),
@@ -312,20 +312,20 @@ def tokenise(spark, sf_dir):
 
 @query
 def tfidf_vocabulary(spark, sf_dir):
-    docs = tfidf.with_terms(fx.mail(spark, sf_dir))
+    docs = tfidf.with_terms(fx.mail_text(spark, sf_dir))
     return _rounded(tfidf.vocabulary(docs, docs.count()), "idf")
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    docs = tfidf.with_terms(fx.mail(spark, sf_dir))
+    docs = tfidf.with_terms(fx.mail_text(spark, sf_dir))
     return _rounded(tfidf.MailTfidf().fit(docs).weights(docs, "id"), "weight")
 
 
 @query
 def tfidf_transform(spark, sf_dir):
     """Fitted on the mail, applied to chat turns as new mail; unseen terms drop out."""
-    model = tfidf.MailTfidf().fit(tfidf.with_terms(fx.mail(spark, sf_dir)))
+    model = tfidf.MailTfidf().fit(tfidf.with_terms(fx.mail_text(spark, sf_dir)))
     turns = fx.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.lit("").alias("subject"), F.col("text").alias("body")
     )
@@ -606,7 +606,7 @@ def priority_scope(spark, sf_dir):
         DataFrame.unionByName,
         (
             quality.with_priority(fx.mail_dirty(spark, sf_dir), p).select("id", "priority")
-            for p in ("critical", "high")
+            for p in ("critical", "high", "normal", "low")
         ),
     )
 
@@ -773,11 +773,18 @@ def _request_rows(spark, sf_dir):
     """Requests of up to ten mails each, as JSON text."""
     mail = fx.mail_dirty(spark, sf_dir)
     one = F.struct("sender", "subject", "body")
-    return (
+    asked = (
         mail.groupBy(F.floor(F.col("id") / 10).cast("string").alias("request_id"))
         .agg(F.sort_array(F.collect_list(F.struct("id", one.alias("m")))).alias("e"))
-        .select(F.to_json(F.struct("request_id", F.col("e.m").alias("emails"))).alias("value"))
+        .select("request_id", F.col("e.m").alias("emails"))
+    )
+    # Every ninth request comes twice more: without the array, and with an empty one.
+    ninth = asked.filter(F.col("request_id").cast("long") % 9 == 0)
+    bare = ninth.select(F.to_json(F.struct(F.concat("request_id", F.lit("-none")).alias("request_id"))).alias("value"))
+    empty = ninth.select(
+        F.to_json(F.struct(F.concat("request_id", F.lit("-empty")).alias("request_id"), F.slice("emails", 1, 0).alias("emails"))).alias("value")
     )
+    return asked.select(F.to_json(F.struct("request_id", "emails")).alias("value")).union(bare).union(empty)
 
 
 @query
@@ -832,15 +839,14 @@ def stream_counts(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Repeated mail in one stream; one row per message id comes through."""
+    """Repeated mail in one stream, some of it undated; one row per message id comes through."""
     path, checkpoint = staging_path(spark, "first"), staging_path(spark, "first-state")
     copies = F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
     )
     arriving = (
         fx.mail_stream(spark, sf_dir)
-        .filter("date IS NOT NULL")
-        .withColumn("date", F.col("date").cast("timestamp"))
+        .withColumn("date", F.when(F.col("id") % 23 != 0, F.col("date").cast("timestamp")))
         .withColumn("seq", F.explode(copies))
         .select("id", "message_id", "date", "subject")
     )

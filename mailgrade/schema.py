@@ -55,5 +55,5 @@ SCORES = T.MapType(T.StringType(), T.DoubleType())
 
 RESULT_COLUMNS = (
     "id", "sender", "recipients", "subject", "body", "date", "priority", "confidence",
-    "confidence_scores", "shap_values", "model_used", "created_at",
+    "confidence_scores", "shap_values", "model_used", "created_at", "updated_at",
 )

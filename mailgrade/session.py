@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", name: str = "mailgrade", **conf) -> Spa
         .config("spark.sql.shuffle.partitions", str(parallel))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config(READ_PARTITIONS, str(parallel))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -60,12 +61,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+READ_PARTITIONS = "mailgrade.read.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use idle cores when the input comes in fewer pieces than there are cores.
+    """Deal the rows to as many tasks as the session asks for; untouched where it asks for nothing.
 
-    Text rules and tokenising are heavy per row, so a small file read as one or
-    two pieces would keep most cores waiting. A large input has far more pieces
-    than the cluster has cores and passes through without a shuffle.
+    Text rules are heavy per row, and a file of one row group is one task however many cores
+    there are. A session over such files sets ``mailgrade.read.partitions``; a large input
+    needs no setting, and the plan never depends on its size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -61,6 +61,12 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_mail(spread(documents), table(spark, sf_dir, "events"))
 
 
+def mail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, subject, body)`` of the mail, without the join that only dates and users need."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return spread(documents).select("id", _pick(_SUBJECTS, 16).alias("subject"), "body")
+
+
 def mail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same view with the documents read as a stream."""
     static = table(spark, sf_dir, "documents")
@@ -69,10 +75,7 @@ def mail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("pathGlobFilter", "documents.parquet")
         .parquet(sf_dir)
     )
-    cores = spark.sparkContext.defaultParallelism
-    if static.rdd.getNumPartitions() < cores:  # see session.spread
-        documents = documents.repartition(cores)
-    return _as_mail(documents, table(spark, sf_dir, "events"))
+    return _as_mail(spread(documents), table(spark, sf_dir, "events"))
 
 
 def mail_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,18 +31,25 @@ def request_error() -> Column:
 
 
 def explode_requests(requests: DataFrame) -> DataFrame:
-    """One row per mail with its ``index`` and an ``error`` text or null."""
+    """One row per mail with its ``index`` and an ``error`` text or null.
+
+    A request without mails gives one row without an index that says what the request lacks.
+    """
+    whole = requests.withColumn("_whole", request_error())
     return (
-        requests.select("request_id", F.posexplode("emails").alias("index", "m"))
-        .select("request_id", "index", "m.*")
-        .withColumn("error", payload_error())
+        whole.select("request_id", "_whole", F.posexplode_outer("emails").alias("index", "m"))
+        .select("request_id", "index", "m.*", "_whole")
+        .withColumn("error", F.coalesce("_whole", payload_error()))
+        .drop("_whole")
     )
 
 
 def request_totals(rows: DataFrame) -> DataFrame:
-    """``(request_id, total, successful, failed)``."""
+    """``(request_id, total, successful, failed, request_error)`` over the mails of each request."""
+    mails = F.col("index").isNotNull()
     return rows.groupBy("request_id").agg(
-        F.count("*").alias("total"),
-        F.count(F.when(F.col("error").isNull(), 1)).alias("successful"),
-        F.count("error").alias("failed"),
+        F.count("index").alias("total"),
+        F.count(F.when(mails & F.col("error").isNull(), 1)).alias("successful"),
+        F.count(F.when(mails, F.col("error"))).alias("failed"),
+        F.max(F.when(~mails, F.col("error"))).alias("request_error"),
     )

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.quality import split_store_quality, without_deleted
 from ..schema import RESULT_COLUMNS
+from ..session import staging_path
 
-_DAY = "ingest_date"
+_DAY, _BATCH = "ingest_date", "batch_id"
 
 
 def to_results(scored: DataFrame, created_at: str = "created_at") -> DataFrame:
     """Scored mail in the column order of the store."""
-    return scored.withColumn("created_at", F.col(created_at)).select(*RESULT_COLUMNS)
+    return scored.withColumns({"created_at": F.col(created_at), "updated_at": F.col(created_at)}).select(*RESULT_COLUMNS)
 
 
 def _write(results: DataFrame, path: str, mode: str) -> None:
@@ -29,10 +30,19 @@ def _write(results: DataFrame, path: str, mode: str) -> None:
     )
 
 
-def append(results: DataFrame, path: str) -> None:
-    """Append the rows that are fit to be stored."""
-    good, _ = split_store_quality(results)
-    _write(good.withColumn(_DAY, F.to_date("created_at")), path, "append")
+def append(results: DataFrame, path: str, rejects: str | None = None, batch_id: int | None = None) -> None:
+    """Append the rows that are fit to be stored; with ``rejects``, the others go there with their reason.
+
+    A batch with an id is written to a folder of that id, which a replay replaces, so no row
+    comes twice.
+    """
+    good, bad = split_store_quality(results)
+    mode = "append" if batch_id is None else "overwrite"
+    under = "" if batch_id is None else f"/{_BATCH}={batch_id}"
+    _write(good.withColumn(_DAY, F.to_date("created_at")), path + under, mode)
+    if rejects:
+        reason = F.when(F.trim(F.coalesce("sender", F.lit(""))) == "", "no sender").otherwise("not fit for the store")
+        bad.withColumn("reject_reason", reason).write.mode(mode).parquet(rejects + under)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +54,33 @@ def find(results: DataFrame, record_id) -> DataFrame:
     return results.filter(F.col("id") == F.lit(record_id))
 
 
-def delete(spark: SparkSession, path: str, target: str, deletes: DataFrame) -> None:
-    """Write the store without the deleted ids to ``target``.
+def delete(spark: SparkSession, path: str, deletes: DataFrame) -> None:
+    """Remove the deleted ids from the store.
 
-    Only partitions that hold a deleted id differ from the source; files are
-    immutable, so the caller switches readers over to ``target``.
+    The days that hold one are found with two columns and are the only ones rewritten: they are
+    written beside the store first and then replace their partitions, so a job that fails
+    half-way leaves the old rows.
     """
-    kept = without_deleted(read(spark, path), deletes)
-    _write(kept, target, "errorifexists")
+    ids = deletes.select("id")
+    parts = [c for c in (_BATCH, _DAY) if c in read(spark, path).columns]
+    found = read(spark, path).select("id", _DAY).join(ids, "id", "left_semi")
+    days = [r[_DAY] for r in found.select(_DAY).distinct().collect()]  # a row for each day
+    if not days:
+        return
+    touched = read(spark, path).filter(F.col(_DAY).isin(days))
+    beside = staging_path(spark, "store-delete")
+    without_deleted(touched, ids).write.partitionBy(*parts).parquet(beside)
+    kept = spark.read.schema(touched.schema).parquet(beside)
+    emptied = touched.select(*parts).distinct().join(kept.select(*parts).distinct(), parts, "left_anti").collect()
+    (
+        kept.hint("rebalance", F.col(_DAY))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    )
+    for row in emptied:  # a row for each day of which nothing is left
+        _drop_folder(spark, "/".join([path, *(f"{c}={row[c]}" for c in parts)]))
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a day of which nothing is left, in whatever file system the store is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

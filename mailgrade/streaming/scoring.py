@@ -32,9 +32,12 @@ def score_stream(
 def keep_first_stream(mail: DataFrame, event_time: str = "date", delay: str = DELAY) -> DataFrame:
     """The first row per message id within the allowed delay.
 
-    State is one key per id and expires with the watermark.
+    State is one key per id and expires with the watermark. Undated mail has no place in event
+    time, so its ids are kept for good.
     """
-    return mail.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["message_id"])
+    dated = mail.filter(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
+    undated = mail.filter(F.col(event_time).isNull()).dropDuplicates(["message_id"])
+    return dated.dropDuplicatesWithinWatermark(["message_id"]).unionByName(undated)
 
 
 def count_stream(scored: DataFrame) -> DataFrame:
@@ -42,14 +45,17 @@ def count_stream(scored: DataFrame) -> DataFrame:
     return priority_counts(scored)
 
 
-def write_to_store(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_to_store(
+    scored: DataFrame, path: str, checkpoint: str, rejects: str | None = None
+) -> StreamingQuery:
     """Append a scored stream to the result store, batch by batch.
 
-    The quality gate and the partitioning are those of the batch store.
+    The quality gate and the partitioning are those of the batch store. A batch that is
+    replayed after a failure replaces what its first run has written.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        store.append(batch, path)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        store.append(batch, path, rejects, batch_id)
 
     return (
         scored.writeStream.foreachBatch(append)
