@@ -64,8 +64,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = TaskContext.get().partitionId() % SALTS
     for k in range(mixing.CONTEXTS):
         rows = []
-        for block in range(mixing.SLOTS // RANGE):
-            counts = learner.counts[k, :, block * RANGE : (block + 1) * RANGE]
+        for block in range((1 << mixing.BITS[k]) // RANGE):
+            counts = learner.counts[k][:, block * RANGE : (block + 1) * RANGE]
             if counts.any():
                 rows.append((k, block, salt, zlib.compress(counts.astype("<i8").tobytes(), 1)))
         if rows:
@@ -102,16 +102,14 @@ def learn(training: DataFrame) -> mixing.Mixer:
     """The model of all ``training`` texts."""
     n = parts(training.sparkSession)
     rows = training.select("text").mapInArrow(_learn, _MODEL_ROW)
-    model = mixing.Mixer(
-        logits=np.zeros((mixing.CONTEXTS, mixing.SLOTS), np.float32), levels=np.zeros((mixing.CONTEXTS, mixing.SLOTS), np.int8)
-    )
+    model = mixing.Mixer()
     final = _summed(_summed(rows, n, True), n, False).mapInArrow(_rounded, _MODEL_ROW)
     for r in final.collect():  # as many bytes as the model has
         data = zlib.decompress(r["data"])
         if r["kind"] < mixing.CONTEXTS:
             at = slice(r["block"] * RANGE, (r["block"] + 1) * RANGE)
-            model.logits[r["kind"], at] = np.frombuffer(data[: 2 * RANGE], "<f2")
-            model.levels[r["kind"], at] = np.frombuffer(data[2 * RANGE :], np.int8)
+            model.logits[r["kind"]][at] = np.frombuffer(data[: 2 * RANGE], "<f2")
+            model.levels[r["kind"]][at] = np.frombuffer(data[2 * RANGE :], np.int8)
         else:
             own, size = np.frombuffer(data, "<f8"), model.weights.size
             model.weights = (own[:size] / own[size]).reshape(model.weights.shape)
@@ -125,7 +123,7 @@ def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, block, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "data"))):
             if kind < mixing.CONTEXTS:
                 zeros, ones = np.frombuffer(zlib.decompress(data), "<i8").reshape(2, RANGE)
-                level = mixing._level(zeros + ones)
+                level = mixing.states(zeros, ones)
                 data = zlib.compress(mixing.stretched(zeros, ones).astype("<f2").tobytes() + level.tobytes(), 1)
             yield _model_rows([(kind, block, 0, data)])
 

@@ -21,14 +21,16 @@ import numpy as np
 import pandas as pd
 
 CONTEXTS = 4
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
-GATES = 16 * 8
+#: Slots of each context's table, as powers of two: one byte, two, three, the word.
+BITS = (16, 20, 21, 22)
+#: States of a slot: unseen, or how often seen (four steps) and whether always with one outcome.
+STATES = 9
+GATES = STATES * STATES * 8
 CELLS = 33
 #: Bytes handled in one step, and (context, byte) pairs between two updates of the weights.
 STEP = 2 << 20
-BLOCK = 1 << 15
-RATE = 0.1
+BLOCK = 1 << 14
+RATE = 2.0
 END = 0  # follows each text
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -101,12 +103,17 @@ def _contexts(key: np.ndarray) -> list[np.ndarray]:
     return [(c + np.uint64(1)) * _ODD[k] for k, c in enumerate((three & np.uint64(0xFF), three & np.uint64(0xFFFF), three, word))]
 
 
-def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((context ^ (context >> np.uint64(29))) + node * _ODD[1]) * _ODD[2] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    """Per context the slots of a partial byte."""
+    step = node * _ODD[1]
+    return [(((c ^ (c >> np.uint64(29))) + step) * _ODD[2] >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(contexts, BITS)]
 
 
-def _level(n: np.ndarray) -> np.ndarray:
-    return ((n > 0).astype(np.int8) + (n > 3) + (n > 31)).astype(np.int8)
+def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """How sure a slot can be: 0 unseen, 1 to 4 by count with both outcomes, 5 to 8 with one."""
+    n = zeros + ones
+    step = (n > 0).astype(np.int8) + (n > 2) + (n > 15) + (n > 127)
+    return (step + 4 * ((n > 0) & ((zeros == 0) | (ones == 0)))).astype(np.int8)
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -119,8 +126,8 @@ class Mixer:
 
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, CONTEXTS), 0.35, np.float64))
     hits: np.ndarray = field(default_factory=lambda: np.zeros((256 * CELLS, 2)))
-    logits: np.ndarray | None = None
-    levels: np.ndarray | None = None
+    logits: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.float32) for b in BITS])
+    levels: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.int8) for b in BITS])
 
     def refined(self) -> np.ndarray:
         centre = 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS // 2) / 2.0))
@@ -140,9 +147,9 @@ class Mixer:
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(bool)
-            slots = [_slots(c, node) for c in contexts]
+            slots = _slots(contexts, node)
             inputs = np.stack([self.logits[k][s] for k, s in enumerate(slots)])
-            gate = (self.levels[3][slots[3]] * 4 + self.levels[2][slots[2]]).astype(np.int64) * 8 + t
+            gate = (self.levels[3][slots[3]].astype(np.int64) * STATES + self.levels[2][slots[2]]) * 8 + t
             z = self._mix(inputs, gate)
             p = 0.5 / (1 + np.exp(-np.clip(z, -30, 30))) + 0.5 * refined[self._cell(z, node)]
             total += np.log10(np.clip(np.where(bit, p, 1 - p), 1e-9, 1.0))
@@ -153,21 +160,24 @@ class Learner:
     """A task's counts, weights and refinement table, learned online."""
 
     def __init__(self):
-        self.counts = np.zeros((CONTEXTS, 2, SLOTS), np.int32)
+        self.counts = [np.zeros((2, 1 << b), np.int32) for b in BITS]
         self.mixer = Mixer()
         self.bits = 0
 
     def learn(self, key: np.ndarray) -> None:
         codes, unique = pd.factorize(key)
         times = np.bincount(codes).astype(np.float64)
+        # Mixed up, so that each block is like the whole step: rare pairs come last in the text.
+        mixed = np.random.default_rng(len(unique)).permutation(len(unique))
         for at in range(0, len(unique), BLOCK):
-            self._block(unique[at : at + BLOCK], times[at : at + BLOCK])
+            own = mixed[at : at + BLOCK]
+            self._block(unique[own], times[own])
         byte, contexts, whole = unique & np.uint64(0xFF), _contexts(unique), times.astype(np.int32)
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.int64)
-            for k, c in enumerate(contexts):
-                np.add.at(self.counts[k].reshape(-1), bit * SLOTS + _slots(c, node), whole)
+            for k, slot in enumerate(_slots(contexts, node)):
+                np.add.at(self.counts[k].reshape(-1), (bit << BITS[k]) + slot, whole)
         self.bits += 8 * len(key)
 
     def _block(self, key: np.ndarray, times: np.ndarray) -> None:
@@ -176,20 +186,19 @@ class Learner:
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.float64)
             inputs, seen = [], []
-            for k, c in enumerate(contexts):
-                slot = _slots(c, node)
-                zeros, ones = self.counts[k, 0][slot], self.counts[k, 1][slot]
+            for k, slot in enumerate(_slots(contexts, node)):
+                zeros, ones = self.counts[k][0][slot], self.counts[k][1][slot]
                 inputs.append(stretched(zeros, ones))
-                seen.append(zeros + ones)
+                seen.append((zeros, ones) if k >= 2 else None)
             inputs = np.stack(inputs)
-            gate = (_level(seen[3]) * 4 + _level(seen[2])).astype(np.int64) * 8 + t
+            gate = (states(*seen[3]).astype(np.int64) * STATES + states(*seen[2])) * 8 + t
             z = m._mix(inputs, gate)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             cells = m._cell(z, node)
             m.hits[:, 1] += np.bincount(cells, times * bit, len(m.hits))
             m.hits[:, 0] += np.bincount(cells, times * (1 - bit), len(m.hits))
-            wrong, bend = times * (bit - p), times * p * (1 - p)
+            wrong = times * (bit - p)
             for k in range(CONTEXTS):
                 slope = np.bincount(gate, wrong * inputs[k], GATES)
-                curve = np.bincount(gate, bend * inputs[k] ** 2, GATES)
-                m.weights[:, k] += RATE * slope / (curve + 10.0)
+                size = np.bincount(gate, times * inputs[k] ** 2, GATES)
+                m.weights[:, k] += RATE * slope / (size + 10.0)

@@ -40,8 +40,9 @@ def test_probabilities_of_a_context_add_up():
     learner = mixing.Learner()
     for data, starts, leads, _ in mixing.steps([prose(k, 200, 50).encode() for k in range(5)], 3000):
         learner.learn(mixing.pairs(data, starts, leads)[0])
-    zeros, ones = learner.counts[:, 0], learner.counts[:, 1]
-    model = mixing.Mixer(learner.mixer.weights, learner.mixer.hits, mixing.stretched(zeros, ones), mixing._level(zeros + ones))
+    model = mixing.Mixer(
+        learner.mixer.weights, learner.mixer.hits, [mixing.stretched(*c) for c in learner.counts], [mixing.states(*c) for c in learner.counts]
+    )
     key = (np.uint64(12345) << np.uint64(32)) | (np.uint64(0x20414243 & 0xFFFFFF) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     assert abs((10 ** model.cost(key)).sum() - 1) < 1e-6
 
