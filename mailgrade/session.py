@@ -51,14 +51,20 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` out once and read it back from reliable storage.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
 
-    Used where several passes follow (iterative fits, rank cuts), so that a lost
-    executor costs a re-read and not a re-computation.
+    Used where several passes follow, so that a lost executor costs a re-read and not a
+    re-computation. The folder is the cluster's to clear.
     """
-    staging_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """:func:`stored` under a common name."""
+    return stored(df, "rows")
 
 
 READ_PARTITIONS = "mailgrade.read.partitions"

@@ -142,9 +142,18 @@ def test_smote_leaves_tiny_or_gappy_data_alone(spark):
     assert smote.smote(gap).count() == 13
 
 
-def test_smote_refuses_a_class_that_is_too_large(spark):
-    with pytest.raises(smote.ClassTooLarge):
-        smote.smote(points(spark, [12, 5]), max_class_bytes=100)
+def test_smote_in_blocks_fills_exactly_and_stays_in_the_class(spark):
+    rows = points(spark, [90, 40, 33])
+    repeated = rows.withColumn("id", F.regexp_replace("id", "-[1-5]$", "-0"))
+    out = smote.smote(repeated, block=8, projections=2).collect()
+    assert sorted(r["priority"] for r in out) == [0] * 90 + [1] * 90 + [2] * 90
+    have = {}
+    for r in rows.collect():
+        have.setdefault(r["priority"], []).append(r["features"].toArray())
+    for r in (r for r in out if "+" in r["id"]):
+        low, high = np.min(have[r["priority"]], axis=0), np.max(have[r["priority"]], axis=0)
+        new = r["features"].toArray()
+        assert (new >= low - 1e-9).all() and (new <= high + 1e-9).all()
 
 
 # --- text weights and models -------------------------------------------------------------------
