@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mail as M
 from ..schema import LABELS
+from ..session import stored
 
 CLASSES = len(LABELS)
 
@@ -152,7 +153,21 @@ def metrics_long(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-_SCORE_BUCKETS = 4096
+_SCORE_BUCKETS = 1024
+
+
+def score_buckets(steps: DataFrame, buckets: int = _SCORE_BUCKETS) -> DataFrame:
+    """Add ``_bucket``, which rises with the score and holds about as many rows everywhere."""
+    shares = [i / buckets for i in range(1, buckets)]
+    borders = steps.groupBy("class_id").agg(F.percentile_approx("score", shares, 10 * buckets).alias("_borders"))
+    # The number of borders at or below the score, by halving.
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(buckets.bit_length()))))
+    place = F.aggregate(
+        halves, F.lit(0),
+        lambda at, step: F.when(F.get("_borders", at + step - 1) <= F.col("score"), at + step).otherwise(at),
+    )
+    # One row per class.
+    return steps.join(F.broadcast(borders), "class_id").withColumn("_bucket", place).drop("_borders")
 
 
 def roc_points(
@@ -160,18 +175,21 @@ def roc_points(
 ) -> DataFrame:
     """One-vs-rest ROC points ``(class_id, score, tp, fp, pos, neg, tp_step, fp_step)``.
 
-    Equal scores are merged first. The running counts are then built in two
-    levels, inside a score bucket and over the bucket totals, so that no window
-    spans a whole class.
+    Equal scores are merged first, and the merged rows are written once. The
+    running counts are then built in two levels, inside a score bucket and over
+    the bucket totals, so that no window spans a whole class. Bucket borders are
+    quantiles of a class' different scores: crowded scores get narrow buckets.
     """
     scored = df.select(
         F.posexplode(probability).alias("class_id", "score"), F.col(truth).alias("_truth")
     ).withColumn("_hit", (F.col("_truth") == F.col("class_id")).cast("long"))
-    steps = (
-        scored.groupBy("class_id", "score")
-        .agg(F.sum("_hit").alias("tp_step"), F.sum(F.lit(1) - F.col("_hit")).alias("fp_step"))
-        .withColumn("_bucket", F.floor(F.col("score") * _SCORE_BUCKETS).cast("int"))
+    merged = stored(
+        scored.groupBy("class_id", "score").agg(
+            F.sum("_hit").alias("tp_step"), F.sum(F.lit(1) - F.col("_hit")).alias("fp_step")
+        ),
+        "roc-steps",
     )
+    steps = score_buckets(merged)
     before = (
         Window.partitionBy("class_id").orderBy(F.desc("_bucket"))
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,8 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from mailgrade.functions import mail as M
+from mailgrade.functions import terms as tm
 from mailgrade.operators import (
     attribution,
     features,
@@ -255,6 +257,14 @@ def test_roc_auc_equals_pair_counting(spark):
     assert got[3] is None
 
 
+def test_score_buckets_follow_the_data(spark):
+    rng = np.random.default_rng(4)
+    scores = 1 / (1 + np.exp(-rng.normal(6, 4, 20_000)))  # crowded near one
+    frame = spark.createDataFrame([(0, float(x)) for x in scores], "class_id int, score double")
+    sizes = [r["n"] for r in metrics.score_buckets(frame, 64).groupBy("_bucket").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 20_000 / 64
+
+
 # --- sources and streams -----------------------------------------------------------------------
 
 PLAIN = b"""Message-ID: <1@x>\r
@@ -316,6 +326,50 @@ def test_messages_from_files(spark, tmp_path):
     assert messages.read_messages(spark, str(tmp_path)).count() == 5
 
 
+def test_broken_headers_and_charsets_lose_nothing(spark):
+    files = [
+        ("/mail/u/inbox/1", b"From: a@b.c\nSubject: =?utf-8?b?a?= x\n\nhi"),
+        ("/mail/u/inbox/2", "From: a@b.c\nSubject: s\nContent-Type: text/plain; charset=latin-1\n"
+                            "Content-Transfer-Encoding: 8bit\n\ncaf\xe9".encode("latin-1")),
+        ("/mail/u/inbox/3", "From: a@b.c\nSubject: s\nContent-Type: text/plain; charset=nonsense\n\nolé".encode()),
+        ("/mail/u/inbox/4", b"From: a@b.c\nSubject: s\nDate: 2026-04-23T15:21\n\nb"),
+        ("/mail/u/inbox/5", b"From: a@b.c\nSubject: s\nDate: sometime\n\nb"),
+        ("/mail/u/inbox/6", None),
+    ]
+    rows = messages.parse_messages(spark.createDataFrame(files, "path string, content binary"), "/mail").collect()
+    got = {r["path"][-1]: r for r in rows}
+    assert got["1"]["reject_reason"] is None and got["1"]["subject"].endswith("x") and got["1"]["body"] == "hi"
+    assert (got["2"]["body"], got["3"]["body"]) == ("café", "olé")
+    assert (got["4"]["date"], got["4"]["hour_of_day"]) == ("2026-04-23T15:21:00", 15)
+    assert (got["5"]["date"], got["5"]["hour_of_day"]) == ("sometime", -1)
+    assert got["6"]["reject_reason"] == "unreadable"
+
+
+def test_folder_below_the_first_root(spark):
+    paths = {"/mail/user1/mail/5": "mail", "/mail/u/mail/old/7": "mail/old", "/mail/u/5": "5", "/other/u/x/5": "unknown"}
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = frame.select("path", M.folder_from_path(F.col("path"), "/mail").alias("f")).collect()
+    assert {r["path"]: r["f"] for r in got} == paths
+
+
+def test_words_beyond_ascii(spark):
+    frame = spark.createDataFrame([("by märzday", "a\U0001FBF1 b"), ("by monday", "x1 y")], "t string, w string")
+    got = frame.select(M.has_deadline(F.col("t")).alias("d"), tm.words(F.col("w")).alias("w")).collect()
+    assert [(r["d"], r["w"]) for r in got] == [(1, ["a1"]), (1, ["x1"])]
+
+
+def test_store_keeps_rejects_and_replays_once(spark, sf_dir, tmp_path):
+    mail = fx.mail(spark, sf_dir).withColumn("created_at", F.col("date"))
+    scored = store.to_results(scoring.score(mail))
+    path, rejects = str(tmp_path / "s"), str(tmp_path / "r")
+    for _ in range(2):
+        store.append(scored, path, rejects, batch_id=7)
+    kept, lost = store.read(spark, path).count(), spark.read.parquet(rejects)
+    assert kept + lost.count() == mail.count() and lost.filter("reject_reason IS NULL").count() == 0
+    store.delete(spark, path, spark.createDataFrame([(42,)], "id long"))
+    assert store.read(spark, path).count() == kept - 1
+
+
 def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path):
     body = 'a "quoted" line,\nand another\n'
     row = spark.createDataFrame([tuple("x" for _ in range(6)) + (body, "", "f")],
