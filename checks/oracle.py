@@ -818,6 +818,9 @@ FROM features LEFT JOIN (SELECT id, count(*) AS n FROM terms JOIN vocabulary USI
             f"""SELECT '{name}' AS name, round({sum(abs(((c + 1) * (j + 3)) % 7 - 3.0) for c in range(4)) / 4}::DOUBLE
  * (SELECT avg(abs({name}::DOUBLE - m)) FROM features, (SELECT avg({name}::DOUBLE) AS m FROM features)), 6) AS weight"""
             for j, name in enumerate(NARROW)), FEATURES),
+    "train_choose_score": _with(
+        """SELECT count(*) AS n_mails, count(*) AS n_confident, count(*) AS n_sum_one, count(*) AS n_own_share,
+ 1::BIGINT AS n_models FROM mail"""),
     "stream_dedup": _with(
         "SELECT id, message_id, subject FROM mail"),
 }

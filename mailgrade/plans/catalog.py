@@ -32,7 +32,7 @@ from ..session import materialise, staging_path
 from ..sources import fixture as fx
 from ..sources import messages, reports, requests, store, tabular
 from ..streaming import scoring as streaming
-from . import evaluation, ingest, scoring
+from . import evaluation, ingest, lifecycle, scoring
 
 # Sizes of the registered training runs; the defaults of the operators are larger.
 TERMS, TREES, DEPTH, ROUNDS, BOOST_DEPTH, LR_STEPS = 500, 20, 8, 5, 3, 50
@@ -973,3 +973,21 @@ def attribution_fixed(spark, sf_dir):
     rows = VectorAssembler(inputCols=columns, outputCol="features").transform(wide).select("id", "features")
     found = attribution.global_attribution(rows, _FixedLinear(4, len(columns)), columns)
     return _rounded(found, "weight")
+
+
+@query
+def train_choose_score(spark, sf_dir):
+    """Two models trained, the better one stored, and all mail scored by what is stored: facts of the result."""
+    folder = staging_path(spark, "lifecycle")
+    candidates = (("logistic_regression", lambda n: training.logistic_regression(n, max_iter=20), False),
+                  ("random_forest", lambda _: training.random_forest(5, 5), True))
+    lifecycle.train_all(_labelled(spark, sf_dir), folder, candidates, max_terms=100, folds=2)
+    scored = lifecycle.score_by_report(fx.mail(spark, sf_dir), folder)
+    share = F.get(F.map_values("confidence_scores"), F.col("priority_index"))
+    return scored.agg(
+        F.count("*").alias("n_mails"),
+        F.count_if(F.col("confidence").between(0, 1)).alias("n_confident"),
+        F.count_if(F.abs(F.aggregate(F.map_values("confidence_scores"), F.lit(0.0), lambda t, x: t + x) - 1) < 1e-6).alias("n_sum_one"),
+        F.count_if(F.abs(share - F.col("confidence")) < 1e-9).alias("n_own_share"),
+        F.count_distinct("model_used").alias("n_models"),
+    )
