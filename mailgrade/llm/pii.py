@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from mailgrade.llm.common import once, stored, text_key
 
+#: What stands before a value that is secret by its name.
+_NAMED = r"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in order of precedence; each pattern is anchored to whole tokens below.
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,24}",
     "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-fA-F]{32,64}",
+    "value": _NAMED + r"(?=[A-Za-z_+/.\-]{0,60}\d)[A-Za-z0-9_+/.\-]{5,60}[A-Za-z0-9]",
     "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}",
     "ipv4": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
@@ -57,8 +60,9 @@ DEFAULT_KEY = "surrogates"
 
 
 def _kind(mention: Column) -> Column:
-    whole = [(kind, F.regexp(mention, F.lit(f"^(?:{p})$"))) for kind, p in PATTERNS.items()]
-    return reduce(lambda rest, x: F.when(x[1], F.lit(x[0])).otherwise(rest), reversed(whole), F.lit("name"))
+    """A value that is secret by what stands before it has no other kind."""
+    whole = [(kind, F.regexp(mention, F.lit(f"^(?:{p})$"))) for kind, p in PATTERNS.items() if kind != "value"]
+    return reduce(lambda rest, x: F.when(x[1], F.lit(x[0])).otherwise(rest), reversed(whole), F.lit("secret"))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -147,12 +151,14 @@ def _surrogate(kind: Column, canon: Column, key: str) -> Column:
     ipv4 = F.concat_ws(".", F.lit("10"), *[_number(F.lit(i), 256).cast("string") for i in range(3)])
     hexes = lambda text: F.array_join(F.transform(F.sequence(F.lit(0), F.char_length(text) - 1), lambda i: F.when(
         F.substring(text, i + 1, F.lit(1)) == ":", ":").otherwise(F.substring("stream", i + 1, F.lit(1)))), "")
-    hexadecimal = F.regexp(canon, F.lit("^[0-9a-f]{32,64}$"))
+    hexadecimal = F.regexp(canon, F.lit("^[0-9a-f]{1,256}$"))
+    known = F.char_length(F.regexp_extract(canon, "^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0))
+    key_string = F.concat(F.substring(canon, F.lit(1), known), F.substring(_same_format(canon), known + 1, F.char_length(canon)))
     script = F.when(F.regexp(canon, F.lit(r"\p{IsCyrillic}")), _name("cyrillic", kind)).when(F.regexp(canon, F.lit(r"\p{IsGreek}")), _name("greek", kind))
     return (
         F.when(kind == "title", canon)
         .when(kind == "email", email)
-        .when(kind == "secret", F.when(hexadecimal, hexes(canon)).otherwise(F.concat(F.substring(canon, 1, 4), F.substring(_same_format(canon), F.lit(5), F.char_length(canon)))))
+        .when(kind == "secret", F.when(hexadecimal, hexes(canon)).otherwise(key_string))
         .when(kind == "ipv6", hexes(canon))
         .when(kind == "ipv4", ipv4)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_same_format(canon), 2, 8)))

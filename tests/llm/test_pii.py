@@ -67,6 +67,15 @@ def test_names_keep_gender_script_and_person(spark):
     assert re.fullmatch(r"Frau \w+-\w+ ok", c) and "Weiß" not in c
 
 
+def test_named_secrets(spark):
+    values = ["e3b3ed3cc8548923d6", "Tr0ub4dor-x", "12345678"]
+    out = run(spark, [f"x password={v}### y" for v in values] + ['api_key: "Ab9_cd.Ef1"', "the secret: because we token = off"])
+    for v, t in zip(values, out):
+        new = t.removeprefix("x password=").removesuffix("### y")
+        assert v not in t and len(new) == len(v) and t.endswith("### y")
+    assert "Ab9_cd" not in out[3] and out[3].startswith('api_key: "') and out[4] == "the secret: because we token = off"
+
+
 def test_keys_change_surrogates(spark):
     assert run(spark, [PHONE], key="one") != run(spark, [PHONE], key="two") and run(spark, [PHONE], key="one") == run(spark, [PHONE], key="one")
 
