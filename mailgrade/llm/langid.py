@@ -6,9 +6,9 @@ every part of every labelled text can be drawn). Prediction reads whole texts: e
 softmax are linear, so their product is one row of scores per hash bucket and a document's
 score is the mean over all its subwords.
 
-The score is a probability: the temperature is fitted on held-back snippets, and a document is
-rejected where that probability is below one half, that is, where the answer is more likely
-wrong than right. Null, empty and letterless texts give ``und``, score 0, and are rejected.
+The score is a probability: the temperature is fitted on held-back snippets. A document is
+rejected where even its best language has a probability below ``REJECT_BELOW``, little more than
+an even share among a few languages; a text that mixes two of them is kept. Null, empty and letterless texts give ``und``, score 0, and are rejected.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SAMPLE, SNIPPET = 6000, 400
 EPOCHS, RATE, BATCH = 6, 0.5, 32
 #: A small sample is gone through more often, until there have been so many steps.
 LEAST_STEPS = 400
-REJECT_BELOW = 0.5
+REJECT_BELOW = 0.35
 UNKNOWN = "und"
 
 _NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
