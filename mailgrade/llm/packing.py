@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,45 +27,92 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
 GROUP = 16384
-REMEMBERED = 400_000
+#: Words that a worker keeps at most; then it keeps the most used quarter.
+REMEMBERED = 800_000
 #: Steps of the local search for each bin, at most.
 EXCHANGES = 8
 
 
+#: How the vocabulary marks a token that ends a word, and how many words of letters make a line.
+WORD_END, LINE = "</w>", 2048
+#: Marks that end a word; after a lower-case letter they are always tokens of their own.
+_ENDINGS = frozenset(",.;:!?")
+
+
+def _stem(word: str) -> str:
+    """The word without one mark at its end, if its ids are those of stem and mark one after the other."""
+    return word[:-1] if len(word) > 1 and word[-1] in _ENDINGS and word[-2].islower() and "<|" not in word else word
+
+
 class Encoder:
     """Ids of texts; words between blanks are encoded once per worker, since no token spans a blank."""
 
     def __init__(self, vocabulary: str):
         self.library = tokenizer(vocabulary)
-        self.forget()
-
-    def forget(self):
+        self._batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.last = np.array([(self.library.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
         self.number: dict[str, int] = {}
-        self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.starts, self.lengths, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
+
+    def _forget(self) -> None:
+        """Keep the words used most."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 4])
+        words = list(self.number)
+        lengths = self.lengths[kept]
+        ends = np.cumsum(lengths)
+        self.ids = self.ids[np.repeat(self.starts[kept] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.number = {words[k]: n for n, k in enumerate(kept.tolist())}
+        self.starts, self.lengths, self.used = ends - lengths, lengths, self.used[kept] // 2
 
-    def _learn(self, words: list[str]) -> None:
-        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        found = [e.ids for e in encode(words, add_special_tokens=False)]
+    def _add(self, words: list[str], found: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.starts, self.lengths = np.r_[self.starts, starts], np.r_[self.lengths, lengths]
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        self.ids = np.r_[self.ids, flat]
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        self.ids = np.concatenate([self.ids, flat])
+
+    def _known(self, word: str) -> list[int]:
+        k = self.number[word]
+        return self.ids[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
+
+    def _line(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters alone, encoded as one text: each ends with its only token that ends a word."""
+        ids = np.array(self._batch([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or not len(ids) or ends[-1] != len(ids):
+            return [e.ids for e in self._batch(words, add_special_tokens=False)]
+        return [x.tolist() for x in np.split(ids, ends[:-1])]
+
+    def _learn(self, new: list[str]) -> None:
+        stems = {w: _stem(w) for w in new}
+        fresh = [w for w in {*stems.values(), *(w[-1] for w, s in stems.items() if s is not w)} if w not in self.number]
+        letters = [w for w in fresh if w.isalpha() and w.islower()]
+        for at in range(0, len(letters), LINE):
+            self._add(line := letters[at : at + LINE], self._line(line))
+        rest = [w for w in fresh if w not in self.number]
+        self._add(rest, [e.ids for e in self._batch(rest, add_special_tokens=False)])
+        joined = [w for w in new if w not in self.number]
+        self._add(joined, [self._known(stems[w]) + self._known(w[-1]) for w in joined])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.number) > REMEMBERED:
-            self.forget()
+            self._forget()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn([w for w in set().union(*cut) if w not in self.number]) if cut else None
+        self._learn(list(set().union(*cut).difference(self.number)))
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        index = np.fromiter((self.number[w] for c in cut for w in c), np.int64, int(sizes.sum()))
+        index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        self.used += np.bincount(index, minlength=len(self.used))
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
         place = np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
-        per_text = np.diff(np.r_[0, ends[np.cumsum(sizes) - 1]]) if len(cut) else np.empty(0, np.int64)
-        return self.ids[place], per_text
+        return self.ids[place], np.diff(np.r_[0, ends[np.cumsum(sizes) - 1]])
 
 
 _ENCODERS: dict[str, Encoder] = {}

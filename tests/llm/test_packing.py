@@ -26,6 +26,18 @@ def test_pieces_and_places(spark):
     gapless(got)
 
 
+def test_remembered_words_give_the_librarys_ids(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    library = Tokenizer.from_file(resolve(packing.VOCABULARY))
+    encoder = packing.Encoder(packing.VOCABULARY)
+    texts = [t or "" for t in awkward()[:11]] + ["İ, ı. ß! Éa; it's, e\u0301, x\u0301. <|endoftext|>, a<|startoftext|>. ,. a,. ...", "b\u00a0c. d"]
+    for _ in range(3):
+        for k in range(0, len(texts), 4):
+            ids, sizes = encoder.encode(texts[k : k + 4])
+            want = [library.encode(t, add_special_tokens=False).ids for t in texts[k : k + 4]]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def gapless(rows):
     order = sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))
     for _, own in groupby(order, key=lambda r: r["sequence_id"]):
