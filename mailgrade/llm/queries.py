@@ -30,7 +30,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    return repeats.removed(_table(spark, sf_dir, "documents", "doc_id", "text"), texts=False).drop("kept")
 
 
 @_register
