@@ -35,7 +35,7 @@ RANGE = 1 << 16
 SALTS = 16
 #: Word buckets for each shuffle partition.
 FINER = 4
-_STEP = 4 << 20
+_STEP = 2 << 20
 _TRAINING = np.uint32(1 << 31)
 
 
@@ -53,7 +53,7 @@ def _model_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0..3: counts of a context's slots; kind 4: weights times bits, bits, refinement table."""
+    """kind below CONTEXTS: counts of a context's slots; the last kind: weights times bits, bits, refinement table."""
     learner = mixing.Learner()
     for batch in batches:
         for part in pieces(batch, limit=mixing.STEP):
@@ -70,7 +70,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((k, block, salt, zlib.compress(counts.astype("<i8").tobytes(), 1)))
         if rows:
             yield _model_rows(rows)
-    own = np.concatenate([learner.mixer.weights.ravel() * learner.bits, [learner.bits], learner.mixer.hits.ravel()])
+    own = np.concatenate([learner.mixer.weights.ravel().astype(np.float64) * learner.bits, [learner.bits], learner.mixer.hits.ravel()])
     yield _model_rows([(mixing.CONTEXTS, 0, salt, zlib.compress(own.astype("<f8").tobytes(), 1))])
 
 
@@ -112,7 +112,7 @@ def learn(training: DataFrame) -> mixing.Mixer:
             model.levels[r["kind"]][at] = np.frombuffer(data[2 * RANGE :], np.int8)
         else:
             own, size = np.frombuffer(data, "<f8"), model.weights.size
-            model.weights = (own[:size] / own[size]).reshape(model.weights.shape)
+            model.weights = (own[:size] / own[size]).reshape(model.weights.shape).astype(np.float32)
             model.hits = own[size + 1 :].reshape(model.hits.shape).copy()
     return model
 
@@ -189,22 +189,29 @@ def _scan(shared, buckets: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a partition's buckets: training counts, then sums for each document of each step."""
-    steps, blobs = [], []
+    """Bucket by bucket (rows come sorted) training counts of the words, then sums for each document of each step."""
+    now, steps, blobs = None, [], []
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
         if (kinds == _LISTING).any():
             yield batch.filter(pa.array(kinds == _LISTING))
         rest = batch.filter(pa.array(kinds == _WORDS))
-        steps += rest.column("step").to_pylist()
-        blobs += rest.column("data").to_pylist()
-    if not blobs:
-        return
+        for bucket, step, data in zip(*(rest.column(c).to_pylist() for c in ("bucket", "step", "data"))):
+            if bucket != now and blobs:
+                yield from _count_bucket(steps, blobs)
+                steps, blobs = [], []
+            now = bucket
+            steps.append(step)
+            blobs.append(data)
+    if blobs:
+        yield from _count_bucket(steps, blobs)
+
+
+def _count_bucket(steps: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     sizes = np.array([len(b) // 16 for b in blobs])
     hashes = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, sizes)])
     doc = np.concatenate([np.frombuffer(b, "<u4", n, 8 * n) for b, n in zip(blobs, sizes)]).astype(np.int64)
     times = np.concatenate([np.frombuffer(b, "<u4", n, 12 * n) for b, n in zip(blobs, sizes)])
-    del blobs
     training, times = times >= _TRAINING, (times & ~_TRAINING).astype(np.int64)
     codes, unique = pd.factorize(hashes)
     count = np.bincount(codes, times * training, len(unique))
@@ -274,7 +281,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     shared = spark.sparkContext.broadcast(learn(marked.filter("training")))
     n = parts(spark)
     scanned = marked.mapInArrow(_scan(shared, FINER * n), _SCAN_ROW)
-    counted = scanned.repartition(n, "bucket").mapInArrow(_count, _SCAN_ROW)
+    counted = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, _SCAN_ROW)
     gathered = counted.repartition(n, "step").sortWithinPartitions("step", "kind").mapInArrow(_gather, _DOC_ROW)
     rows = stored(gathered, "scores")
     t = rows.agg(F.sum("vocabulary").alias("v"), F.sum("total").alias("n"), F.count_if("training").alias("ends")).first()

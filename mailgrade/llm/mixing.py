@@ -20,9 +20,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 
-CONTEXTS = 4
-#: Slots of each context's table, as powers of two: one byte, two, three, the word.
-BITS = (16, 20, 21, 22)
+CONTEXTS = 3
+#: Slots of each context's table, as powers of two: two bytes, three, the word.
+BITS = (20, 21, 22)
 #: States of a slot: unseen, or how often seen (four steps) and whether always with one outcome.
 STATES = 9
 GATES = STATES * STATES * 8
@@ -72,6 +72,16 @@ def _step(parts, owners, leads):
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, np.array(leads), np.array(owners)
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least ``n``; kept from step to step."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n + (n >> 2), x)]) for x in (_BASE, _INVERSE)]
+    return _POWERS
+
+
 def pairs(data: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each predicted byte its context and value in 64 bits (word so far, three bytes, byte), and its segment."""
     n = len(data)
@@ -83,14 +93,14 @@ def pairs(data: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.n
         moved[back:] = wide[:-back]
         moved[since < back] = 0
         last = (last << np.uint64(8)) | moved
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
-    inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)])
-    total = np.r_[np.uint64(0), np.cumsum((wide + np.uint64(1)) * powers[:n])]
+    powers, inverse = _powers(n)
+    total = np.zeros(n, np.uint64)
+    np.cumsum((wide[:-1] + np.uint64(1)) * powers[: n - 1], out=total[1:])
     begin = np.zeros(n, np.int64)
     begin[1:] = np.where(data[:-1] <= 32, np.arange(1, n), 0)
     begin[starts] = starts
     begin = np.maximum.accumulate(begin)
-    word = ((total[:n] - total[begin]) * inverse[begin] * _ODD[0]) >> np.uint64(32)
+    word = ((total - total[begin]) * inverse[begin] * _ODD[0]) >> np.uint64(32)
     key = (word << np.uint64(32)) | (last << np.uint64(8)) | wide
     told = since >= np.repeat(leads, np.diff(np.r_[starts, n]))
     segment = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
@@ -100,7 +110,7 @@ def pairs(data: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.n
 def _contexts(key: np.ndarray) -> list[np.ndarray]:
     three = (key >> np.uint64(8)) & np.uint64(0xFFFFFF)
     word = key >> np.uint64(32)
-    return [(c + np.uint64(1)) * _ODD[k] for k, c in enumerate((three & np.uint64(0xFF), three & np.uint64(0xFFFF), three, word))]
+    return [(c + np.uint64(1)) * _ODD[k] for k, c in enumerate((three & np.uint64(0xFFFF), three, word))]
 
 
 def _slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
@@ -117,14 +127,15 @@ def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + 0.3) / (zeros + 0.3)).astype(np.float32)
+    third = np.float32(0.3)
+    return np.log((ones.astype(np.float32) + third) / (zeros.astype(np.float32) + third))
 
 
 @dataclass
 class Mixer:
     """Weights and refinement table; the slots' logits and levels once counts are final."""
 
-    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, CONTEXTS), 0.35, np.float64))
+    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, CONTEXTS), 0.45, np.float32))
     hits: np.ndarray = field(default_factory=lambda: np.zeros((256 * CELLS, 2)))
     logits: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.float32) for b in BITS])
     levels: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.int8) for b in BITS])
@@ -149,7 +160,7 @@ class Mixer:
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(bool)
             slots = _slots(contexts, node)
             inputs = np.stack([self.logits[k][s] for k, s in enumerate(slots)])
-            gate = (self.levels[3][slots[3]].astype(np.int64) * STATES + self.levels[2][slots[2]]) * 8 + t
+            gate = (self.levels[2][slots[2]].astype(np.int64) * STATES + self.levels[1][slots[1]]) * 8 + t
             z = self._mix(inputs, gate)
             p = 0.5 / (1 + np.exp(-np.clip(z, -30, 30))) + 0.5 * refined[self._cell(z, node)]
             total += np.log10(np.clip(np.where(bit, p, 1 - p), 1e-9, 1.0))
@@ -166,7 +177,7 @@ class Learner:
 
     def learn(self, key: np.ndarray) -> None:
         codes, unique = pd.factorize(key)
-        times = np.bincount(codes).astype(np.float64)
+        times = np.bincount(codes).astype(np.float32)
         # Mixed up, so that each block is like the whole step: rare pairs come last in the text.
         mixed = np.random.default_rng(len(unique)).permutation(len(unique))
         for at in range(0, len(unique), BLOCK):
@@ -184,14 +195,14 @@ class Learner:
         m, byte, contexts = self.mixer, key & np.uint64(0xFF), _contexts(key)
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
-            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.float64)
+            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.float32)
             inputs, seen = [], []
             for k, slot in enumerate(_slots(contexts, node)):
                 zeros, ones = self.counts[k][0][slot], self.counts[k][1][slot]
                 inputs.append(stretched(zeros, ones))
-                seen.append((zeros, ones) if k >= 2 else None)
+                seen.append((zeros, ones))
             inputs = np.stack(inputs)
-            gate = (states(*seen[3]).astype(np.int64) * STATES + states(*seen[2])) * 8 + t
+            gate = (states(*seen[2]).astype(np.int64) * STATES + states(*seen[1])) * 8 + t
             z = m._mix(inputs, gate)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             cells = m._cell(z, node)
