@@ -28,12 +28,14 @@ from mailgrade.llm.common import once, stored, text_key
 
 #: What stands before a value that is secret by its name.
 _NAMED = r"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
+#: What a named value consists of: all up to white space, a quote or a closing delimiter.
+_HELD = r"[^\s\"'`”’»)\]}>]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in order of precedence; each pattern is anchored to whole tokens below.
 PATTERNS = {
+    "value": _NAMED + rf"(?={_HELD}*\d){_HELD}{{5,}}[\p{{L}}\p{{N}}_@]",
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,24}",
-    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-fA-F]{32,64}",
-    "value": _NAMED + r"(?=[A-Za-z_+/.\-]{0,60}\d)[A-Za-z0-9_+/.\-]{5,60}[A-Za-z0-9]",
+    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|[0-9a-fA-F]{32,}",
     "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}",
     "ipv4": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
@@ -105,8 +107,7 @@ def _number(i: Column, size: int) -> Column:
 
 def _same_format(text: Column, keep: int = 0) -> Column:
     """Each letter or digit by another of its class; other characters, and the first ``keep``, stay."""
-    def one(i: Column) -> Column:
-        c = F.substring(text, i + 1, F.lit(1))
+    def one(c: Column, i: Column) -> Column:
         letter = lambda alphabet: F.substring(F.lit(alphabet), _number(i, len(alphabet)) + 1, F.lit(1))
         return (
             F.when(i < keep, c)
@@ -115,9 +116,11 @@ def _same_format(text: Column, keep: int = 0) -> Column:
             .when(F.regexp(c, F.lit("[A-Z]")), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
             .when(F.regexp(c, F.lit(r"\p{Ll}")), letter("àáâäèéêëìíîïòóôöùúûü"))
             .when(F.regexp(c, F.lit(r"\p{Lu}")), letter("ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ"))
+            .when(F.regexp(c, F.lit(r"\p{L}")), letter("的一是不了人我在有他这中大来上国"))
+            .when(F.regexp(c, F.lit(r"\p{N}")), letter("0123456789"))
             .otherwise(c)
         )
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.char_length(text) - 1), one), "")
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -149,9 +152,9 @@ def _surrogate(kind: Column, canon: Column, key: str) -> Column:
     host = F.concat(F.lit("h"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), own).cast("binary"), 256), 1, 10))
     email = F.concat(_same_format(local), F.lit("@"), host, F.lit(".example"))
     ipv4 = F.concat_ws(".", F.lit("10"), *[_number(F.lit(i), 256).cast("string") for i in range(3)])
-    hexes = lambda text: F.array_join(F.transform(F.sequence(F.lit(0), F.char_length(text) - 1), lambda i: F.when(
-        F.substring(text, i + 1, F.lit(1)) == ":", ":").otherwise(F.substring("stream", i + 1, F.lit(1)))), "")
-    hexadecimal = F.regexp(canon, F.lit("^[0-9a-f]{1,256}$"))
+    hexes = lambda text: F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(
+        c == ":", ":").otherwise(F.substring("stream", F.pmod(i, F.lit(256)) + 1, F.lit(1)))), "")
+    hexadecimal = F.regexp(canon, F.lit("^[0-9a-f]+$"))
     known = F.char_length(F.regexp_extract(canon, "^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0))
     key_string = F.concat(F.substring(canon, F.lit(1), known), F.substring(_same_format(canon), known + 1, F.char_length(canon)))
     script = F.when(F.regexp(canon, F.lit(r"\p{IsCyrillic}")), _name("cyrillic", kind)).when(F.regexp(canon, F.lit(r"\p{IsGreek}")), _name("greek", kind))

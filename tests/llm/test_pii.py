@@ -76,6 +76,20 @@ def test_named_secrets(spark):
     assert "Ab9_cd" not in out[3] and out[3].startswith('api_key: "') and out[4] == "the secret: because we token = off"
 
 
+def test_named_and_key_secrets_of_any_length_are_replaced_whole(spark):
+    long = lambda n: "".join("aB3.x-7/Q+9_z!k5"[k % 16] for k in range(n - 1)) + "7"
+    values = ["Tr0ub4dor!x9", "e3b3ed3cc8548923d6e3b3ed3cc8548923d6!tail_", "密码pass9字"] + [long(n) for n in (62, 200, 2000)] + ["a1B2" * 20]
+    secrets = ["sk-" + "aB3" * 40, "0123456789abcdef" * 30, "ghp_" + "aB3" * 20]
+    out = run(spark, [f'x token="{v}" y' for v in values] + [f"x {s} y" for s in secrets])
+    for v, t in zip(values, out):
+        new = t.removeprefix('x token="').removesuffix('" y')
+        assert len(new) == len(v) and new[-2:] != v[-2:] and not any(v[k : k + 12] in new for k in range(len(v) - 11))
+        assert [c for c in new if not c.isalnum()] == [c for c in v if not c.isalnum()] and "码" not in new
+    for s, t in zip(secrets, out[len(values):]):
+        assert len(t) == len(s) + 4 and not any(s[k : k + 12] in t for k in range(4, len(s) - 11))
+    assert re.fullmatch("x [0-9a-f]{480} y", out[-2])
+
+
 def test_keys_change_surrogates(spark):
     assert run(spark, [PHONE], key="one") != run(spark, [PHONE], key="two") and run(spark, [PHONE], key="one") == run(spark, [PHONE], key="one")
 
