@@ -12,9 +12,11 @@ IPv4 to 10.0.0.0/8; names keep gender (from the title) and script (Latin, Cyrill
 A surname found after a title is replaced wherever it stands in that document.
 
 Distinctness: over all entities of the input no two of one kind share a surrogate, and no
-surrogate is itself an entity of the input. Entities that fail this get the next hash in
-another round, until none is left; the one with the fewest rounds and then the least canonical
-form keeps its surrogate.
+surrogate is itself an entity of the input. Entities that fail this, and they alone, get the next
+hash in another round, until none is left; the one with the fewest rounds and then the least
+canonical form keeps its surrogate. A format can have fewer surrogates than the input has
+entities (one-letter addresses of one host, phones of four digits), so after ``SHORT`` rounds the
+surrogate grows by ``STEP`` characters a round and no longer keeps the mention's length.
 """
 
 from __future__ import annotations
@@ -59,6 +61,10 @@ _ENDINGS = {"latin": ("n", "l", "r"), "cyrillic": ("на", "н", "р"), "greek":
 _FEMALE_LATIN = "na"
 
 DEFAULT_KEY = "surrogates"
+#: Rounds in which a surrogate keeps its format, and what each later one adds to its length.
+SHORT, STEP = 6, 2
+#: Characters it grows by at most; the stream holds no more.
+MOST = 40
 
 
 def _kind(mention: Column) -> Column:
@@ -147,9 +153,8 @@ def _surrogate(kind: Column, canon: Column, key: str) -> Column:
     check = F.pmod(F.lit(10) - _luhn_sum(card_body, 0) % 10, F.lit(10)).cast("string")
     card = F.when(_luhn_sum(canon, 1) % 10 == 0, F.concat(card_body, check)).otherwise(_same_format(canon, 1))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    own = F.regexp_replace(domain, r"\.[^.]+$", "")
     # The domain hashes by itself, so addresses of one host stay at one host.
-    host = F.concat(F.lit("h"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), own).cast("binary"), 256), 1, 10))
+    host = F.concat(F.lit("h"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), domain).cast("binary"), 256), 1, 10))
     email = F.concat(_same_format(local), F.lit("@"), host, F.lit(".example"))
     ipv4 = F.concat_ws(".", F.lit("10"), *[_number(F.lit(i), 256).cast("string") for i in range(3)])
     hexes = lambda text: F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(
@@ -172,35 +177,61 @@ def _surrogate(kind: Column, canon: Column, key: str) -> Column:
     )
 
 
+def _grown(kind: Column, surrogate: Column, by: int) -> Column:
+    """The surrogate made longer by ``by`` characters (a name: syllables); the frame has ``stream``."""
+    if not by:
+        return surrogate
+    # From the stream's end, which formats reach last.
+    more = lambda pool: F.concat(*[F.element_at(F.array(*map(F.lit, pool)), _number(F.lit(-1 - i), len(pool)) + 1) for i in range(by)])
+    name = lambda script: F.initcap(F.concat(more(_SYLLABLES[script]), F.lower(surrogate)))
+    digits = more("0123456789")
+    return (
+        F.when(kind == "email", F.concat(F.substring_index(surrogate, "@", 1), digits, F.lit("@"), F.substring_index(surrogate, "@", -1)))
+        .when(kind.isin("phone", "card", "ssn", "iban"), F.concat(surrogate, digits))
+        .when(kind.isin("secret", "ipv6"), F.concat(surrogate, more("0123456789abcdef")))
+        .when(kind == "ipv4", F.concat(surrogate, F.lit("."), digits))
+        .when(F.regexp(surrogate, F.lit(r"\p{IsCyrillic}")), name("cyrillic"))
+        .when(F.regexp(surrogate, F.lit(r"\p{IsGreek}")), name("greek"))
+        .otherwise(name("latin"))
+    )
+
+
 def surrogates(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """kind, canon, surrogate for every different entity, one to one within a kind."""
-    entities = found.filter("kind <> 'title'").select("kind", "canon").distinct()
-    now = stored(entities.withColumn("turn", F.lit(0)), "entities")
-    real = now.select(F.col("kind").alias("real_kind"), F.lower("canon").alias("real"))
+    now = stored(found.filter("kind <> 'title'").select("kind", "canon").distinct(), "entities")
+    taken, done, turn = now.select(F.col("kind").alias("k"), F.lower("canon").alias("s")), [], 0
     while True:
-        named = once(once(now, stream=_stream(key, "kind", "canon", "turn")), surrogate=_surrogate(F.col("kind"), F.col("canon"), key)).drop("stream")
-        first = named.groupBy(F.col("kind").alias("k"), F.lower("surrogate").alias("s")).agg(F.min(F.struct("turn", "canon")).alias("winner"))
+        streams = once(now.withColumn("turn", F.lit(turn)), stream=_stream(key, "kind", "canon", "turn"))
+        short = once(streams, short=_surrogate(F.col("kind"), F.col("canon"), key))
+        grown = _grown(F.col("kind"), F.col("short"), min(STEP * max(0, turn - SHORT + 1), MOST))
+        named = once(short, surrogate=grown).select("kind", "canon", "surrogate")
+        first = named.groupBy(F.col("kind").alias("k"), F.lower("surrogate").alias("s")).agg(F.min("canon").alias("winner"))
+        met = first.join(taken, ["k", "s"]).select(F.col("k").alias("met_k"), F.col("s").alias("met_s")).distinct()
         judged = (
             named.join(first, (F.col("kind") == F.col("k")) & (F.lower("surrogate") == F.col("s")))
-            .join(real, (F.col("kind") == F.col("real_kind")) & (F.lower("surrogate") == F.col("real")), "left")
-            .withColumn("lost", (F.col("winner") != F.struct("turn", "canon")) | F.col("real").isNotNull())
-            .select("kind", "canon", "turn", "surrogate", "lost")
+            .join(met, (F.col("k") == F.col("met_k")) & (F.col("s") == F.col("met_s")), "left")
+            .withColumn("lost", (F.col("winner") != F.col("canon")) | F.col("met_s").isNotNull())
+            .select("kind", "canon", "surrogate", "lost")
         )
         judged = stored(judged, "surrogates")
+        won = judged.filter("NOT lost").select("kind", "canon", "surrogate")
+        done.append(won)
         if judged.filter("lost").isEmpty():
-            return judged.select("kind", "canon", "surrogate")
-        now = judged.select("kind", "canon", (F.col("turn") + F.col("lost").cast("int")).alias("turn"))
+            return reduce(DataFrame.union, done)
+        taken = taken.union(won.select("kind", F.lower("surrogate")))
+        now, turn = judged.filter("lost").select("kind", "canon"), turn + 1
 
 
 def _poured() -> Column:
     """The surrogate in the mention's own format: its digits or letters one by one, its separators as they are."""
-    inner = lambda pattern: F.array_join(F.transform(
+    # What a grown surrogate has beyond the mention's places follows at the end.
+    inner = lambda pattern: F.concat(F.array_join(F.transform(
         F.sequence(F.lit(1), F.char_length("piece")),
         lambda i: F.when(
             F.regexp(F.substring("piece", i, F.lit(1)), F.lit(pattern)),
             F.substring("surrogate", F.char_length(F.regexp_replace(F.substring("piece", F.lit(1), i), f"(?!{pattern}).", "")), F.lit(1)),
         ).otherwise(F.substring("piece", i, F.lit(1))),
-    ), "")
+    ), ""), F.substring("surrogate", F.char_length(F.regexp_replace("piece", f"(?!{pattern}).", "")) + 1, F.char_length("surrogate")))
     upper = F.col("piece") == F.upper("piece")
     return (
         F.when(F.col("surrogate").isNull(), F.col("piece"))

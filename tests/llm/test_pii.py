@@ -59,6 +59,17 @@ def test_many_entities_in_a_small_space_stay_distinct(spark, monkeypatch):
     assert len(table) == 120 == len({r["surrogate"] for r in table})
 
 
+def test_more_entities_than_a_format_has_surrogates(spark):
+    mails = [f"{c}@{host}" for host in ("mail.com", "mail.de") for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{c}@one.org" for c in "字道水"]
+    phones = [f"+1{k:03d}" for k in range(600)]
+    table = pii.surrogates(pii.mentions(docs(spark, [" ; ".join(mails), " ; ".join(phones)]))).collect()
+    assert len(table) == len(mails) + len(phones) == len({(r["kind"], r["surrogate"]) for r in table})
+    assert not {r["surrogate"] for r in table} & {r["canon"] for r in table}
+    texts = run(spark, [" ; ".join(mails), " ; ".join(phones)])
+    assert len({*texts[0].split(" ; ")}) == len(mails) and len({*texts[1].split(" ; ")}) == len(phones)
+    assert not {*texts[1].split(" ; ")} & {*phones} and all(re.fullmatch(r"\+1\d{3,}", t) for t in texts[1].split(" ; "))
+
+
 def test_names_keep_gender_script_and_person(spark):
     a, b, c = run(spark, ["Mr. John Smith met Mrs. Mary Smith. Later Smith left; Smithson stayed.", "Госпожа Анна Петрова", "Frau Müller-Weiß ok"])
     m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. Later (\w+) left; Smithson stayed\.", a)
