@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailgrade.llm.common import as_bytes, parts, pieces, stored
+from mailgrade.llm.common import as_bytes, parts, pieces, stored, text_key
 from mailgrade.llm.components import components
 
 SHINGLE = 3
@@ -53,17 +53,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, fp) for every row; a null text counts as empty."""
-    given = docs.select("doc_id", "text")
+    given = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 values = [fingerprint(t, shingle) for t in as_bytes(part)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                    [part.column("doc_id"), part.column("text_key"), pa.array(np.array(values, np.uint64).view(np.int64))],
+                    names=["doc_id", "text_key", "fp"],
                 )
 
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, fp long")
+    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def _cut(bits: list[int], n: int) -> list[list[int]]:
@@ -187,6 +188,27 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
     return found.distinct()
 
 
+def _rooted(prints: DataFrame, distance: int, group: int) -> DataFrame:
+    """fp, least (its least doc_id), root (the fingerprint that names its component) for every different fingerprint."""
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    near = components(links(prints, distance, group))
+    return least.join(near, least.fp == near.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def survivors(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """doc_id and text_key of one row of each component: the least doc_id, and of its texts the least text_key.
+
+    A null doc_id comes last, so it survives only where no other row of the component has an id.
+    """
+    prints = stored(fingerprints(docs, shingle), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    # The least of a fingerprint first, then of a component, so that copies are no hot key.
+    each = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    rooted = _rooted(prints, distance, group).select(F.col("fp").alias("print"), "root")
+    kept = each.join(rooted, F.col("fp") == F.col("print")).groupBy("root").agg(F.min("first").alias("first"))
+    return kept.select("first.doc_id", "first.text_key")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) for every row of ``docs``.
 
@@ -194,9 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     repeated. A null doc_id is never a component's id unless nothing else is in the component.
     """
     prints = stored(fingerprints(docs, shingle), "prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    near = components(links(prints, distance, group))
-    rooted = least.join(near, least.fp == near.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, distance, group)
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(classes, "root").select(F.col("fp").alias("print"), "component_id")
     return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgrade.llm import langid, packing, pii, simhash, winnow
@@ -16,12 +16,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; of rows with one id the first by text."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return rows.withColumn("nth_", F.row_number().over(first)).filter("nth_ = 1").select(*docs.columns)
+    """One row of each group of near copies, that with the least id; unlike texts stay, whatever their ids."""
+    kept = simhash.survivors(docs).select(F.col("doc_id").alias("kept_doc"), F.col("text_key").alias("kept_key"))
+    keyed = docs.withColumn("own_key", text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.col("own_key") == F.col("kept_key"))
+    rows = keyed.join(kept, same, "left_semi")
+    return rows.dropDuplicates(["doc_id", "own_key"]).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

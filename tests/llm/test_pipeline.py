@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from mailgrade.llm import langid
+from mailgrade.llm import langid, stages
 from tests.llm.helpers import prose
 from tests.llm.test_simhash import brute, plain
 from tests.llm.test_winnow import brute as hit_by
@@ -48,6 +48,17 @@ def test_stages_decide_as_brute_force(spark, folder):
     assert sorted({r["doc_id"] for r in steps[4].collect()}) == kept
 
 
+def test_unlike_texts_with_null_or_equal_ids_stay(spark):
+    a, b, c, d, e = (prose(k, 90) for k in range(50, 55))
+    # e has id 7 like d, and a copy with a lower id; b is twice without an id; a is with and without one.
+    rows = [(None, a), (3, a), (None, b), (None, b), (None, c), (7, d), (7, d), (7, e), (5, e)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = stages.one_of_each(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(3, a), (None, b), (None, c), (7, d), (5, e)], key=str)
+
+
 def test_run_over_the_given_documents(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.count() > 0 and langid.UNKNOWN == "und"
