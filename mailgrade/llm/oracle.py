@@ -5,7 +5,37 @@ _WORDS = (
     r" '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF w <> '']"
 )
 
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every part against every entry of its book, round by round."""
+    nearest = """
+a{r} AS MATERIALIZED (SELECT id, p, arg_min(e, far * 1000 + e) AS e, min(far) AS far
+  FROM (SELECT v.id, v.p, b.e, list_sum([(v.x[i] - b.x[i]) * (v.x[i] - b.x[i]) FOR i IN range(1, len(v.x) + 1)])::BIGINT AS far
+        FROM v JOIN b{r} b USING (p)) GROUP BY id, p)"""
+    moved = """
+s{r} AS (SELECT p, e, i, sum(y)::BIGINT AS t, count(*)::BIGINT AS n
+  FROM (SELECT a.p, a.e, unnest(range(1, len(v.x) + 1)) AS i, unnest(v.x) AS y FROM a{r} a JOIN v USING (id, p)) GROUP BY p, e, i),
+m{r} AS (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY p, e),
+b{next} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)"""
+    steps = ",".join(nearest.format(r=r) + "," + moved.format(r=r, next=r + 1) for r in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id, label,
+    [floor(4096 * c::DOUBLE)::BIGINT FOR c IN embedding] AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR isnan(c) OR isinf(c)]) = 0),
+v AS MATERIALIZED (SELECT id, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x
+  FROM (SELECT id, x, unnest(range({parts})) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT p, id AS e, x FROM v WHERE id < {entries}),{steps},{nearest.format(r=rounds)},
+codes AS MATERIALIZED (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY id),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM codes JOIN k USING (id) GROUP BY label)
+SELECT k.vec_id, code, error, label_error, codebooks_sha256
+FROM codes JOIN k USING (id) JOIN l ON l.label IS NOT DISTINCT FROM k.label CROSS JOIN books
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_vector_codes": _vector_codes(),
     # Every window of an item as one string, joined to every run of as many document words.
     "op8_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrade.llm import langid, lm, multiset, packing, pages, pii, repeats, simhash, tokencount, winnow
+from mailgrade.llm import codes, langid, lm, multiset, packing, pages, periods, pii, repeats, simhash, tokencount, urls, winnow
 from mailgrade.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, ["doc_id"])
     held = langid.remainder(F.col("doc_id"), 3) == 1
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+#: The rules that op11's contract names.
+RULES = [
+    urls.Rule(urls.BLOCK, "net/"), urls.Rule(urls.ALLOW, "example.net/en/"), urls.Rule(urls.BLOCK, "example.com/de/"), urls.Rule(urls.ALLOW, "org/fr/"),
+]
+
+
+@_register
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages", "page_id", "url"), RULES)
+
+
+@_register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(_table(spark, sf_dir, "documents", "doc_id", "text"), tails=True)
+
+
+@_register
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
