@@ -7,18 +7,12 @@ their columns cannot drift apart.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -26,11 +20,14 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import parts
 from ..schema import FOLDS, MAX_TERMS, SEED
 from ..session import materialise
 from . import features as ft
-from . import metrics, sampling
+from . import logistic, metrics, sampling, trees
+from .blocks import packed
 from .smote import smote as oversample
+from .smote import synthetic
 from .tfidf import MailTfidf, MailTfidfModel, with_terms
 
 LABEL = "priority"
@@ -73,48 +70,65 @@ def feature_pipeline(
     )
 
 
-def logistic_regression(rows: int, c: float = 1.0, max_iter: int = 1000) -> LogisticRegression:
-    """Multinomial, L2. ``c`` weighs the loss of all rows, so it is spread over ``rows``."""
-    return LogisticRegression(
-        labelCol=LABEL, family="multinomial", regParam=1.0 / (c * rows), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter,
-    )
+class Recipe:
+    """How a classifier is fitted; ``fit_all`` fits several at once from blocks of rows."""
 
+    #: Whether rows are weighed so that every class of a fit counts the same.
+    balanced = False
 
-def random_forest(trees: int = 200, depth: int = 30, min_leaf: int = 2) -> RandomForestClassifier:
-    """Class-balanced forest. Spark allows a depth of 30 at most."""
-    return RandomForestClassifier(
-        labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, seed=SEED,
-        maxMemoryInMB=512,
-    )
+    def fit_all(self, rows: DataFrame, blocks: DataFrame, size: int, fits: int, classes: int, weights: np.ndarray) -> list[Model]:
+        raise NotImplementedError
 
 
-def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, rows: float = 0.8,
-                  columns: float = 0.8) -> OneVsRest:
-    """Boosted trees, one binary booster per class since Spark's booster is binary."""
-    booster = GBTClassifier(
-        labelCol=LABEL, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
-        featureSubsetStrategy=str(columns), seed=SEED,
-    )
-    return OneVsRest(classifier=booster, labelCol=LABEL)
+@dataclass(frozen=True)
+class Logistic(Recipe):
+    c: float = 1.0
+    max_iter: int = 1000
+
+    def fit_all(self, rows, blocks, size, fits, classes, weights):
+        found = logistic.fit_all(blocks, size, fits, classes, self.c, self.max_iter)
+        return [logistic.as_model(rows.sparkSession, x) for x in found]
+
+
+@dataclass(frozen=True)
+class RandomForest(Recipe):
+    how: trees.Forest = trees.Forest()
+    balanced = True
+
+    def fit_all(self, rows, blocks, size, fits, classes, weights):
+        grown, importance = trees.plant(blocks, trees.find_bins(rows, size), fits, classes, weights, self.how)
+        return [trees.TreesModel.of(own, False, size, classes, share) for own, share in zip(grown, importance)]
+
+
+@dataclass(frozen=True)
+class BoostedTrees(Recipe):
+    how: trees.Boosting = trees.Boosting()
+
+    def fit_all(self, rows, blocks, size, fits, classes, weights):
+        grown = trees.boost(blocks, trees.find_bins(rows, size), fits, classes, self.how)
+        return [trees.TreesModel.of(own, True, size, classes) for own in grown]
+
+
+def logistic_regression(c: float = 1.0, max_iter: int = 1000) -> Recipe:
+    """Multinomial, L2; ``c`` weighs the summed loss of all rows."""
+    return Logistic(c, max_iter)
 
 
-def _shares(df: DataFrame) -> Column:
-    if "probability" in df.columns:
-        return vector_to_array("probability")
-    # One booster per class: squash each margin and scale the results to sum to one.
-    raw = vector_to_array("rawPrediction")
-    from ..functions.probability import normalise
+def random_forest(trees_: int = 200, depth: int = 30, least_split: int = 5, least_leaf: int = 2) -> Recipe:
+    """Class-balanced forest."""
+    return RandomForest(trees.Forest(trees_, depth, least_split, least_leaf))
 
-    return normalise(F.transform(raw, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(m * -2.0))))
+
+def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, rows: float = 0.8, columns: float = 0.8) -> Recipe:
+    """Softmax boosting: a tree for each class in each round."""
+    return BoostedTrees(trees.Boosting(rounds, depth, rate, rows, columns))
 
 
 def predict(model, df: DataFrame) -> DataFrame:
     """Add ``prediction`` (int) and ``probability`` (``array<double>``)."""
     keep = [*df.columns, "features"] if "features" not in df.columns else df.columns
     out = model.transform(df)
-    out = out.withColumn("probability", _shares(out)).withColumn(
+    out = out.withColumn("probability", vector_to_array("probability")).withColumn(
         "prediction", F.col("prediction").cast("int")
     )
     return out.select(*keep, "prediction", "probability")
@@ -125,15 +139,25 @@ def feature_table(mail: DataFrame, model: PipelineModel, key: str = "id") -> Dat
     return materialise(model.transform(mail).select(key, LABEL, "features"))
 
 
-def fit(
-    estimator: Estimator, rows: DataFrame, smote: bool = False, key: str = "id"
-) -> PipelineModel:
-    """Fit on ``(label, features)`` rows, optionally after oversampling."""
+def _fitted(recipe: Recipe, rows: DataFrame, fits: int, key: str) -> list[Model]:
+    """All fits of ``rows`` (key, label, features, ``weights`` with one for each fit)."""
+    inside = [F.sum((F.col("weights")[f] > 0).cast("long")).alias(f"n{f}") for f in range(fits)]
+    counts = {r[LABEL]: r for r in rows.groupBy(LABEL).agg(*inside, F.max(parts("features")["size"]).alias("size")).collect()}
+    classes, size = max(counts) + 1, max(r["size"] for r in counts.values())
+    sizes = np.array([[counts[c][f"n{f}"] if c in counts else 0 for c in range(classes)] for f in range(fits)], float)
+    weights = np.ones(sizes.shape)
+    if recipe.balanced:
+        total, present = sizes.sum(axis=1, keepdims=True), (sizes > 0).sum(axis=1, keepdims=True)
+        weights = np.divide(total, present * sizes, out=np.zeros_like(sizes), where=sizes > 0)
+    blocks = packed(rows, key, LABEL, "weights")
+    return recipe.fit_all(rows, blocks, size, fits, classes, weights)
+
+
+def fit(recipe: Recipe, rows: DataFrame, smote: bool = False, key: str = "id") -> Model:
+    """Fit on ``(key, label, features)`` rows, optionally after oversampling."""
     if smote:
         rows = oversample(rows, LABEL, key=key)
-    if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
-        rows = sampling.with_class_weight(rows, LABEL)
-    return estimator.fit(rows)
+    return _fitted(recipe, materialise(rows.select(key, LABEL, "features").withColumn("weights", F.array(F.lit(1.0)))), 1, key)[0]
 
 
 def evaluate(model, rows: DataFrame) -> DataFrame:
@@ -142,54 +166,52 @@ def evaluate(model, rows: DataFrame) -> DataFrame:
     return metrics.accuracy_macro_f1(counts)
 
 
-def cross_validate(
-    make: Callable[[int], Estimator], rows: DataFrame, k: int = FOLDS, key: str = "id",
-    parallelism: int = FOLDS,
-) -> DataFrame:
-    """``(fold, accuracy, macro_f1)``; each fold is predicted by a model of the others.
+def _fold_weights(k: int) -> list[Column]:
+    """A row is part of all folds' fits but its own's."""
+    return [(F.col("fold") != f).cast("double") for f in range(k)]
 
-    Runs on the original rows, without oversampling. The folds are independent
-    and small jobs each, so several are submitted at a time.
-    """
-    folded = materialise(sampling.stratified_folds(rows, LABEL, key, k))
-    sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
 
-    def predict_fold(fold: int) -> DataFrame:
-        model = fit(
-            make(sum(sizes.values()) - sizes.get(fold, 0)), folded.filter(F.col("fold") != fold)
-        )
-        return predict(model, folded.filter(F.col("fold") == fold)).select(
-            "fold", F.col(LABEL).alias("y_true"), F.col("prediction").alias("y_pred")
-        )
+def _fold_scores(models: list[Model], folded: DataFrame) -> DataFrame:
+    """``(fold, accuracy, macro_f1)``; each fold is predicted by the model of the others."""
+    predicted = [
+        predict(model, folded.filter(F.col("fold") == f)).select("fold", F.col(LABEL).alias("y_true"), F.col("prediction").alias("y_pred"))
+        for f, model in enumerate(models)
+    ]
+    return metrics.accuracy_macro_f1(metrics.confusion_counts(reduce(DataFrame.unionByName, predicted), by=["fold"]), ["fold"])
+
 
-    with ThreadPool(max(1, min(parallelism, k))) as pool:
-        run = inheritable_thread_target(rows.sparkSession)(predict_fold)
-        parts = pool.map(run, range(k))
-    counts = metrics.confusion_counts(reduce(DataFrame.unionByName, parts), by=["fold"])
-    return metrics.accuracy_macro_f1(counts, ["fold"])
+def cross_validate(recipe: Recipe, rows: DataFrame, k: int = FOLDS, key: str = "id") -> DataFrame:
+    """``(fold, accuracy, macro_f1)``; each fold is predicted by a model of the others.
+
+    Runs on the original rows, without oversampling. All folds share every pass.
+    """
+    folded = materialise(sampling.stratified_folds(rows.select(key, LABEL, "features"), LABEL, key, k).withColumn("weights", F.array(*_fold_weights(k))))
+    return _fold_scores(_fitted(recipe, folded, k, key), folded)
 
 
 def train_and_measure(
-    name: str, make: Callable[[int], Estimator], rows: DataFrame, smote: bool = False,
-    folds: int = FOLDS, key: str = "id",
-) -> tuple[object, DataFrame]:
+    name: str, recipe: Recipe, rows: DataFrame, smote: bool = False, folds: int = FOLDS, key: str = "id",
+) -> tuple[Model, DataFrame]:
     """``(model, summary)``: fit on the training part, test on the rest, cross-validate.
 
-    The summary row has the columns the model selection reads.
+    The fit and those of all folds share every pass over the rows; ``train_time_s`` is the time
+    of all of them. The summary row has the columns the model selection reads.
     """
-    split = sampling.stratified_split(rows, LABEL, key)
-    train = split.filter("NOT is_test").drop("is_test")
+    split = sampling.stratified_split(rows.select(key, LABEL, "features"), LABEL, key)
+    folded = materialise(sampling.stratified_folds(split, LABEL, key, folds) if folds else split.withColumn("fold", F.lit(0)))
     started = time.time()
-    model = fit(make(train.count()), train, smote, key)
+    weights = F.array((~F.col("is_test")).cast("double"), *_fold_weights(folds))
+    given = folded.select(F.col(key).cast("string").alias(key), LABEL, "features", weights.alias("weights"))
+    if smote:
+        train = folded.filter("NOT is_test").select(key, LABEL, "features")
+        only_first = F.array(F.lit(1.0), *[F.lit(0.0)] * folds)
+        given = given.unionByName(synthetic(train, LABEL, key=key).withColumn("weights", only_first))
+    models = _fitted(recipe, materialise(given), 1 + folds, key)
     seconds = round(time.time() - started, 2)
-    summary = evaluate(model, split.filter("is_test").drop("is_test")).withColumns(
-        {"model": F.lit(name), "train_time_s": F.lit(seconds)}
-    )
+    summary = evaluate(models[0], folded.filter("is_test")).withColumns({"model": F.lit(name), "train_time_s": F.lit(seconds)})
     if folds:
-        summary = summary.crossJoin(  # one row each
-            metrics.cross_validation_summary(cross_validate(make, rows, folds, key), by=())
-        )
-    return model, summary
+        summary = summary.crossJoin(metrics.cross_validation_summary(_fold_scores(models[1:], folded), by=()))  # one row each
+    return models[0], summary
 
 
 def training_totals(rows: DataFrame, width: int, key: str = "id", folds: int = FOLDS) -> DataFrame:

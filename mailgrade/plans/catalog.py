@@ -870,40 +870,28 @@ def _summary(summary: DataFrame) -> DataFrame:
     return summary.drop("train_time_s")
 
 
-def _lr(rows: int):
-    return training.logistic_regression(rows)
-
-
-def _rf(_: int):
-    return training.random_forest()
-
-
-def _gbt(_: int):
-    return training.boosted_trees()
-
-
 @query
 def train_lr(spark, sf_dir):
     _, rows = _training_rows(spark, sf_dir)
-    return _summary(training.train_and_measure("logistic_regression", _lr, rows, smote=True)[1])
+    return _summary(training.train_and_measure("logistic_regression", training.logistic_regression(), rows, smote=True)[1])
 
 
 @query
 def train_rf(spark, sf_dir):
     _, rows = _training_rows(spark, sf_dir)
-    return _summary(training.train_and_measure("random_forest", _rf, rows, smote=True)[1])
+    return _summary(training.train_and_measure("random_forest", training.random_forest(), rows, smote=True)[1])
 
 
 @query
 def train_gbt(spark, sf_dir):
     _, rows = _training_rows(spark, sf_dir)
-    return _summary(training.train_and_measure("xgboost", _gbt, rows, smote=True)[1])
+    return _summary(training.train_and_measure("xgboost", training.boosted_trees(), rows, smote=True)[1])
 
 
 @query
 def cv_scores(spark, sf_dir):
     _, rows = _training_rows(spark, sf_dir)
-    return training.cross_validate(_lr, rows)
+    return training.cross_validate(training.logistic_regression(), rows)
 
 
 @query
@@ -935,7 +923,7 @@ def score_lr(spark, sf_dir):
     """Mail scored by a trained model that was saved and loaded again."""
     path = staging_path(spark, "model")
     built, rows = _training_rows(spark, sf_dir)
-    classifier = training.fit(_lr(rows.count()), rows)
+    classifier = training.fit(training.logistic_regression(), rows)
     training.save(training.scorer(built, classifier), path)
     scored = scoring.score(fx.mail(spark, sf_dir), training.load(path), "logistic_regression")
     return scored.select(
@@ -946,14 +934,14 @@ def score_lr(spark, sf_dir):
 @query
 def linear_attribution(spark, sf_dir):
     built, rows = _training_rows(spark, sf_dir)
-    classifier = training.fit(_lr(rows.count()), rows)
+    classifier = training.fit(training.logistic_regression(), rows)
     return attribution.global_attribution(rows, classifier, training.vector_names(built))
 
 
 @query
 def feature_importance(spark, sf_dir):
     built, rows = _training_rows(spark, sf_dir)
-    forest = training.fit(_rf(0), rows)
+    forest = training.fit(training.random_forest(), rows)
     return attribution.feature_importance(spark, forest, training.vector_names(built))
 
 

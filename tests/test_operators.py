@@ -147,7 +147,7 @@ def test_smote_leaves_tiny_or_gappy_data_alone(spark):
 def test_smote_in_blocks_fills_exactly_and_stays_in_the_class(spark):
     rows = points(spark, [90, 40, 33])
     repeated = rows.withColumn("id", F.regexp_replace("id", "-[1-5]$", "-0"))
-    out = smote.smote(repeated, block=8, projections=2).collect()
+    out = smote.smote(repeated, block=8).collect()
     assert sorted(r["priority"] for r in out) == [0] * 90 + [1] * 90 + [2] * 90
     have = {}
     for r in rows.collect():
@@ -186,7 +186,7 @@ def test_tfidf_weights(spark):
 def trained(spark, labelled):
     built = training.feature_pipeline(max_terms=200).fit(labelled)
     rows = training.feature_table(labelled, built)
-    return built, rows, training.fit(training.logistic_regression(rows.count(), max_iter=30), rows)
+    return built, rows, training.fit(training.logistic_regression(max_iter=30), rows)
 
 
 def test_names_match_the_vector(trained):
