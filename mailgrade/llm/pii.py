@@ -1,7 +1,9 @@
 """Personal data replaced by keyed surrogates of the same kind, with DataFrame functions only.
 
 Detected: e-mail addresses, phone numbers, payment cards, IBANs, US social security numbers,
-IPv4 and IPv6 addresses, long hexadecimal secrets and key strings, and names after a title.
+IPv4 and IPv6 addresses, long hexadecimal secrets and key strings, values named as a secret,
+passwords in a URL, bearer tokens, and names after a title. A name without a title before it, or
+with one behind it, is not found.
 A mention is split into parts (most have one; a name has a title, given names and a surname),
 and each part has a canonical form: digits alone for numbers, lower case for addresses. The
 surrogate is a keyed hash of kind and canonical form, poured back into the mention's own
@@ -30,27 +32,35 @@ from mailgrade.llm.common import once, stored, text_key
 
 #: What stands before a value that is secret by its name.
 _NAMED = r"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
+#: What stands before a value that is secret whatever it looks like: a password, one in a URL, a bearer.
+_ALWAYS = r"(?<=(?i:password|passwd|pwd|passphrase)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
+_IN_URL = r"(?<=://[^\s/:@]{1,64}:)[^\s/@]+(?=@)"
+_BEARER = r"(?<=(?i:bearer) )[\p{L}\p{N}._~+/\-]{16,}"
 #: What a named value consists of: all up to white space, a quote or a closing delimiter.
 _HELD = r"[^\s\"'`”’»)\]}>]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in order of precedence; each pattern is anchored to whole tokens below.
 PATTERNS = {
-    "value": _NAMED + rf"(?={_HELD}*\d){_HELD}{{5,}}[\p{{L}}\p{{N}}_@]",
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,24}",
+    "value": _NAMED + rf"(?={_HELD}*\d){_HELD}{{5,}}[\p{{L}}\p{{N}}_@]|{_ALWAYS}{_HELD}{{5,}}[\p{{L}}\p{{N}}_@]|{_BEARER}",
+    # No group is repeated without a limit: the matcher would go one call deeper for each time. The
+    # local part begins where its run of characters does, so a long run is gone through once.
+    "email": r"(?<=(?<![\p{L}\p{N}._%+\-])[._%+\-]{0,20})[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-][\p{L}\p{N}.\-]*\.\p{L}{2,24}",
     "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|[0-9a-fA-F]{32,}",
-    "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}",
+    "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}",
     "ipv4": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "card": r"\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "phone": r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}",
-    "name": r"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sra|Sr)\.|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа|Κύριος|Κυρία) \p{Lu}\p{Ll}+(?:[ \-]\p{Lu}\p{Ll}+){0,2}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?:[a-z]{4})?\d{10,26}",
+    "phone": r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d{2,4}[ ]\d{3,4}[ ]\d{3,4}",
+    "name": r"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sra|Sr)\.|Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа|Κύριος|Κυρία) \p{Lu}['’\p{L}]*\p{L}(?:[ \-]\p{Lu}['’\p{L}]*\p{L}){0,2}",
 }
 #: Mentions begin and end at a token's border; decimals of a number are no mention.
-ANY = r"(?<![\p{L}\p{N}_@])(?<!\d[.,])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + r")(?![\p{L}\p{N}_@])"
+ANY = (
+    r"(?<![\p{L}\p{N}_@])(?<!\d[.,])(?:(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + rf")(?![\p{{L}}\p{{N}}_@])|{_IN_URL})"
+)
 
-_MALE = r"^(?:Mr\.|Sr\.|Herr|Monsieur|Señor|Господин|Κύριος) "
-_FEMALE = r"^(?:Mrs\.|Ms\.|Sra\.|Frau|Madame|Señora|Госпожа|Κυρία) "
+_MALE = r"^(?:Mr\.?|Sr\.|Herr|Monsieur|Señor|Господин|Κύριος) "
+_FEMALE = r"^(?:Mrs\.?|Ms\.?|Sra\.|Frau|Madame|Señora|Госпожа|Κυρία) "
 #: Syllables and gender endings of invented names, by script. Fixed values.
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo za".split(),
@@ -93,7 +103,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     bare = F.regexp_replace("piece", r"[ \-]+$", "")
     canon = (
         F.when(F.col("kind").isin("phone", "card", "ssn"), F.regexp_replace("piece", r"\D", ""))
-        .when(F.col("kind") == "iban", F.regexp_replace("piece", " ", ""))
+        .when(F.col("kind") == "iban", F.upper(F.regexp_replace("piece", " ", "")))
         .when((F.col("kind") == "secret") & ~F.regexp("piece", F.lit("^[0-9a-fA-F]+$")), F.col("piece"))
         .when(F.col("kind").isin("email", "secret", "ipv6", "name"), F.lower(bare))
         .otherwise(F.col("piece"))
@@ -236,10 +246,13 @@ def _poured() -> Column:
     return (
         F.when(F.col("surrogate").isNull(), F.col("piece"))
         .when(F.col("kind").isin("phone", "card", "ssn"), inner(r"\d"))
-        .when(F.col("kind") == "iban", inner("[A-Z0-9]"))
+        .when(F.col("kind") == "iban", F.when(F.col("piece") == F.lower("piece"), F.lower(inner("[A-Za-z0-9]"))).otherwise(inner("[A-Z0-9]")))
         .when(F.col("kind").isin("email", "ipv6"), F.when(upper, F.upper("surrogate")).otherwise(F.col("surrogate")))
         .when((F.col("kind") == "secret") & F.regexp("piece", F.lit("^[0-9A-F]+$")), F.upper("surrogate"))
-        .when((F.col("kind") == "surname") | F.col("kind").startswith("given"), F.concat("surrogate", F.regexp_extract("piece", r"[ \-]*$", 0)))
+        .when(
+            (F.col("kind") == "surname") | F.col("kind").startswith("given"),
+            F.concat(F.when(upper, F.upper("surrogate")).otherwise(F.col("surrogate")), F.regexp_extract("piece", r"[ \-]*$", 0)),
+        )
         .otherwise(F.col("surrogate"))
     )
 
