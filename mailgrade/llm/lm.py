@@ -35,7 +35,7 @@ RANGE = 1 << 16
 SALTS = 16
 #: Word buckets for each shuffle partition.
 FINER = 4
-_STEP = 2 << 20
+_STEP = 1 << 20
 _TRAINING = np.uint32(1 << 31)
 
 
@@ -57,7 +57,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     learner = mixing.Learner()
     for batch in batches:
         for part in pieces(batch, limit=mixing.STEP):
-            for data, starts, leads, _ in mixing.steps(as_bytes(part)):
+            for data, starts, leads, _ in mixing.steps(as_bytes(part), learner.limit):
                 learner.learn(mixing.pairs(data, starts, leads)[0])
     if not learner.bits:
         return
@@ -177,7 +177,7 @@ def _scan(shared, buckets: int):
                 has_id = np.array([i is not None for i in ids])
                 listing = b"".join([
                     struct.pack("<q", len(ids)), np.array([i or 0 for i in ids], "<i8").tobytes(), has_id.tobytes(),
-                    (sizes + 1).astype("<i8").tobytes(), training.tobytes(), told.astype("<f8").tobytes(),
+                    (sizes + 1).astype("<i8").tobytes(), np.array([*map(len, texts)], "<i8").tobytes(), training.tobytes(), told.astype("<f8").tobytes(),
                 ])
                 yield _scan_rows([(step % buckets, step, _LISTING, listing)] + [
                     (b, step, _WORDS, hashes[x:y].tobytes() + doc[x:y].tobytes() + times[x:y].tobytes())
@@ -230,16 +230,16 @@ def _count_bucket(steps: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBat
     yield _scan_rows([(0, -1, _TOTALS, struct.pack("<qq", int((count > 0).sum()), int(count.sum())))])
 
 
-_DOC_ROW = "doc_id long, training boolean, n_tokens long, n_known long, logs double, score double, vocabulary long, total long"
+_DOC_ROW = "doc_id long, training boolean, n_tokens long, n_bytes long, n_known long, logs double, score double, vocabulary long, total long"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document (rows arrive sorted by step, the listing first); totals pass through."""
     state: list = []
 
-    def table(ids, training, tokens, known, logs, scores, vocabulary=None, total=None) -> pa.RecordBatch:
+    def table(ids, training, tokens, size, known, logs, scores, vocabulary=None, total=None) -> pa.RecordBatch:
         n = len(ids)
-        arrays = [ids, training, tokens, known, logs, scores, pa.array([vocabulary] * n, pa.int64()), pa.array([total] * n, pa.int64())]
+        arrays = [ids, training, tokens, size, known, logs, scores, pa.array([vocabulary] * n, pa.int64()), pa.array([total] * n, pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _DOC_ROW.split(", ")])
 
     def flush() -> pa.RecordBatch:
@@ -248,14 +248,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at = np.frombuffer(raw, "<i8", n, 8), 8 + 8 * n
         has_id, at = np.frombuffer(raw, np.bool_, n, at), at + n
         tokens, at = np.frombuffer(raw, "<i8", n, at), at + 8 * n
+        size, at = np.frombuffer(raw, "<i8", n, at), at + 8 * n
         training, at = np.frombuffer(raw, np.bool_, n, at), at + n
-        return table(pa.array(ids, mask=~has_id), pa.array(training), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(np.frombuffer(raw, "<f8", n, at)))
+        return table(pa.array(ids, mask=~has_id), pa.array(training), pa.array(tokens), pa.array(size), pa.array(known), pa.array(logs), pa.array(np.frombuffer(raw, "<f8", n, at)))
 
     for batch in batches:
         for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
             if kind == _TOTALS:
                 v, n = struct.unpack("<qq", data)
-                yield table(*(pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), v, n)
+                yield table(*(pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), v, n)
             elif kind == _LISTING:
                 if state:
                     yield flush()
@@ -271,9 +272,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs``.
 
-    A null text is empty: its one token is the end. ``held_out`` must not be null. Without any
+    ``bits_per_byte`` is the score in bits over the text's bytes and its end. A null text is empty: its one token is the end. ``held_out`` must not be null. Without any
     training text the base line knows no word and the model is undecided on every bit.
     """
     spark = docs.sparkSession
@@ -291,4 +292,5 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     return rows.filter(F.col("training").isNotNull()).select(
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        (F.col("score") * F.lit(-math.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -6,7 +6,7 @@ these predictions are mixed with weights chosen by a gate (how often the word an
 context were seen, and the bit's place), and the result is refined by a table of what came true
 at that logit and partial byte.
 
-Learning goes online through a task's texts: a step's bits are predicted from the counts of the
+Steps begin small and double, so that a task with little text learns weights as well. Learning goes online through a task's texts: a step's bits are predicted from the counts of the
 steps before, the weights follow the error block by block, the refinement table takes what came
 true, and only then are the step's counts added. Equal (context, byte) pairs of a step are
 handled once, weighted by how often they occur.
@@ -14,7 +14,7 @@ handled once, weighted by how often they occur.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,39 +27,39 @@ BITS = (20, 21, 22)
 STATES = 9
 GATES = STATES * STATES * 8
 CELLS = 33
-#: Bytes handled in one step, and (context, byte) pairs between two updates of the weights.
-STEP = 2 << 20
+#: Bytes handled in one step, in a task's first step, and (context, byte) pairs between two updates of the weights.
+STEP, FIRST = 1 << 20, 1 << 16
 BLOCK = 1 << 14
 RATE = 2.0
 END = 0  # follows each text
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _BASE = np.uint64(0x100000001B3)
-_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
 
-def steps(texts: list[bytes], limit: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def steps(texts: list[bytes], limit: Callable[[], int] = lambda: STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, segment starts, lead, text number of each segment) for about ``limit`` bytes at a time.
 
     A long text is cut after a blank where there is one; the next segment begins with the last
     three bytes before the cut as context (its lead), which are not predicted again.
     """
     parts, owners, leads, size = [], [], [], 0
+    most = limit()
     for number, text in enumerate(texts):
         whole = text + bytes([END])
         at, lead = 0, 0
         while True:
             stop = len(whole)
-            if stop - at > limit:
-                blank = max(whole.rfind(b" ", at + 4, at + limit), whole.rfind(b"\n", at + 4, at + limit))
-                stop = blank + 1 if blank > 0 else at + limit
+            if stop - at > most:
+                blank = max(whole.rfind(b" ", at + 4, at + most), whole.rfind(b"\n", at + 4, at + most))
+                stop = blank + 1 if blank > 0 else at + most
             parts.append(whole[at - lead : stop])
             owners.append(number)
             leads.append(lead)
             size += stop - at
-            if size >= limit:
+            if size >= most:
                 yield _step(parts, owners, leads)
-                parts, owners, leads, size = [], [], [], 0
+                parts, owners, leads, size, most = [], [], [], 0, limit()
             if stop == len(whole):
                 break
             at, lead = stop, 3
@@ -72,16 +72,6 @@ def _step(parts, owners, leads):
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, np.array(leads), np.array(owners)
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n``; kept from step to step."""
-    if len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n + (n >> 2), x)]) for x in (_BASE, _INVERSE)]
-    return _POWERS
-
-
 def pairs(data: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each predicted byte its context and value in 64 bits (word so far, three bytes, byte), and its segment."""
     n = len(data)
@@ -93,14 +83,16 @@ def pairs(data: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.n
         moved[back:] = wide[:-back]
         moved[since < back] = 0
         last = (last << np.uint64(8)) | moved
-    powers, inverse = _powers(n)
-    total = np.zeros(n, np.uint64)
-    np.cumsum((wide[:-1] + np.uint64(1)) * powers[: n - 1], out=total[1:])
     begin = np.zeros(n, np.int64)
     begin[1:] = np.where(data[:-1] <= 32, np.arange(1, n), 0)
     begin[starts] = starts
     begin = np.maximum.accumulate(begin)
-    word = ((total - total[begin]) * inverse[begin] * _ODD[0]) >> np.uint64(32)
+    # The word so far as a sum of its bytes times powers by their place in it, modulo 2**64.
+    place = np.arange(n) - begin
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(place.max(initial=0)), _BASE)])
+    total = np.zeros(n, np.uint64)
+    np.cumsum(((wide + np.uint64(1)) * powers[place])[:-1], out=total[1:])
+    word = ((total - total[begin]) * _ODD[0]) >> np.uint64(32)
     key = (word << np.uint64(32)) | (last << np.uint64(8)) | wide
     told = since >= np.repeat(leads, np.diff(np.r_[starts, n]))
     segment = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
@@ -173,7 +165,12 @@ class Learner:
     def __init__(self):
         self.counts = [np.zeros((2, 1 << b), np.int32) for b in BITS]
         self.mixer = Mixer()
-        self.bits = 0
+        self.bits = self.taken = 0
+
+    def limit(self) -> int:
+        """Bytes of the next step."""
+        self.taken += 1
+        return min(STEP, FIRST << (self.taken - 1))
 
     def learn(self, key: np.ndarray) -> None:
         codes, unique = pd.factorize(key)
