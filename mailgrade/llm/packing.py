@@ -29,8 +29,6 @@ END = 0
 GROUP = 16384
 #: Words that a worker keeps at most; then it keeps the most used quarter.
 REMEMBERED = 800_000
-#: Steps of the local search for each bin, at most.
-EXCHANGES = 8
 
 
 #: How the vocabulary marks a token that ends a word, and how many words of letters make a line.
@@ -98,21 +96,26 @@ class Encoder:
         joined = [w for w in new if w not in self.number]
         self._add(joined, [self._known(stems[w]) + self._known(w[-1]) for w in joined])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has."""
-        if not texts:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, each text's followed by ``end``, and how many each text has with it."""
         if len(self.number) > REMEMBERED:
             self._forget()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(list(set().union(*cut).difference(self.number)))
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pc.list_flatten(cut).dictionary_encode()
+        # Python sees each different word of a step once.
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.number])
+        index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        sizes = pc.list_value_length(cut).to_numpy()
         self.used += np.bincount(index, minlength=len(self.used))
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
-        place = np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
-        return self.ids[place], np.diff(np.r_[0, ends[np.cumsum(sizes) - 1]])
+        total = int(lengths.sum())
+        of_text = np.diff(np.r_[0, np.r_[0, ends][np.cumsum(sizes)]])
+        place = np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(total)
+        out = np.full(total + len(texts), end, np.uint32)
+        out[np.arange(total) + np.repeat(np.arange(len(texts)), of_text)] = self.ids[place]
+        return out, of_text + 1
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -129,14 +132,13 @@ def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CA
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, Encoder(vocabulary))
         for batch in batches:
             for part in pieces(batch):
-                ids, sizes = encoder.encode(pc.fill_null(part.column("text"), "").to_pylist())
-                rows, at = [], 0
+                ids, sizes = encoder.encode(pc.fill_null(part.column("text"), ""), END)
+                ids, rows, at = memoryview(ids.astype("<u4")), [], 0
                 for row, n in enumerate(sizes.tolist()):
-                    own = np.append(ids[at : at + n], END).astype("<u4")
+                    for k, start in enumerate(range(0, n, capacity)):
+                        piece = ids[at + start : at + min(start + capacity, n)]
+                        rows.append((row, k, start, len(piece), zlib.crc32(piece)))
                     at += n
-                    for k, start in enumerate(range(0, n + 1, capacity)):
-                        piece = own[start : start + capacity]
-                        rows.append((row, k, start, len(piece), zlib.crc32(piece.tobytes())))
                 row, k, start, length, crc = (np.array(x, np.int64) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],
@@ -170,57 +172,73 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Exchange pieces between the emptiest bin and fuller ones while the sum of squared fills rises."""
+    """Exchange pieces between the emptiest bins and fuller ones while the sum of squared fills rises.
+
+    Bins are gone through from the emptiest on, again and again, until none of them has an
+    exchange left or there are as few as can be. Every exchange raises a whole number that is
+    bounded, so this ends.
+    """
     bins = bins.copy()
     loads = np.bincount(bins, weights=lengths).astype(np.int64)
     least = -(-int(lengths.sum()) // capacity)
-    stuck = np.zeros(len(loads), bool)
-    for _ in range(EXCHANGES * len(loads)):
-        if np.count_nonzero(loads) <= least:
-            break
-        open_bins = np.flatnonzero((loads > 0) & (loads < capacity) & ~stuck)
-        if len(open_bins) < 2:
-            break
-        donor = int(open_bins[np.argmin(loads[open_bins])])
-        # Only to bins at least as full as the donor: else the sum of squares would fall.
-        room = np.where(loads >= loads[donor], capacity - loads, -1)
-        room[donor] = -1
-        own = np.flatnonzero(bins == donor)
-        step = _exchange(lengths, bins, loads, room, own)
-        if step is None:
-            stuck[donor] = True
-            continue
-        given, back, target = step
-        moved = int(lengths[given].sum() - lengths[back].sum())
-        bins[given], bins[back] = target, donor
-        loads[donor] -= moved
-        loads[target] += moved
-        stuck[:] = False
+    members = [set() for _ in loads]
+    for i, b in enumerate(bins.tolist()):
+        members[b].add(i)
+    improved = True
+    while improved and np.count_nonzero(loads) > least:
+        improved = False
+        for donor in np.argsort(loads, kind="stable").tolist():
+            while 0 < loads[donor] < capacity:
+                step = _exchange(lengths, bins, loads, capacity, donor, sorted(members[donor]))
+                if step is None:
+                    break
+                given, back, target = step
+                moved = int(lengths[given].sum() - lengths[back].sum())
+                bins[given], bins[back] = target, donor
+                members[donor] = members[donor] - set(given) | set(back)
+                members[target] = members[target] - set(back) | set(given)
+                loads[donor] -= moved
+                loads[target] += moved
+                improved = True
     return bins
 
 
-def _exchange(lengths, bins, loads, room, own):
+def _exchange(lengths, bins, loads, capacity, donor, own):
     """(pieces given, pieces taken back, bin): the exchange that fills a bin best, or None."""
-    best, best_left = None, None
-    for i in own[np.argsort(-lengths[own], kind="stable")].tolist():  # a move
-        fits = np.flatnonzero(room >= lengths[i])
+    # Only with bins at least as full as the donor: else the sum of squares would fall.
+    room = np.where(loads >= loads[donor], capacity - loads, -1)
+    room[donor] = -1
+    if room.max(initial=-1) < 1:
+        return None
+    by_size: dict[int, list[int]] = {}
+    for i in own:
+        by_size.setdefault(int(lengths[i]), []).append(i)
+    for size in sorted(by_size, reverse=True):  # a move
+        fits = np.flatnonzero(room >= size)
         if len(fits):
-            target = int(fits[np.argmin(room[fits])])
-            return [i], [], target
+            return [by_size[size][0]], [], int(fits[np.argmin(room[fits])])
+    # What a bin could hold without one of its pieces; of equal ones the shortest piece counts.
     others = np.flatnonzero(room[bins] > 0)
-    if not len(others):
-        return None
-    size, space = lengths[others], room[bins[others]]
-    singles = {int(lengths[i]): [i] for i in own.tolist()}
-    pairs = {int(lengths[a] + lengths[b]): [a, b] for k, a in enumerate(own.tolist()) for b in own[k + 1 :].tolist()} if len(own) <= 64 else {}
-    for amount, given in [*singles.items(), *pairs.items()]:  # one for one, two for one
-        gain = amount - size
-        good = np.flatnonzero((gain > 0) & (gain <= space))
+    holds = room[bins[others]] + lengths[others]
+    order = np.lexsort((lengths[others], holds))
+    holds, others = holds[order], others[order]
+    first = np.flatnonzero(np.r_[True, holds[1:] != holds[:-1]])
+    holds, others = holds[first], others[first]
+    # A bin has few different lengths, since they add up to its load: one for one, two for one.
+    sizes = sorted(by_size)
+    amounts = {x: [by_size[x][0]] for x in sizes}
+    for k, x in enumerate(sizes):
+        for y in sizes[k:]:
+            if x != y or len(by_size[x]) > 1:
+                amounts.setdefault(x + y, [by_size[x][0], by_size[y][-1]])
+    best, best_left = None, None
+    for amount, given in amounts.items():
+        at = int(np.searchsorted(holds, amount))
+        good = np.flatnonzero(lengths[others[at:]] < amount)
         if len(good):
-            left = space[good] - gain[good]
-            k = int(good[np.argmin(left)])
-            if best_left is None or left.min() < best_left:
-                best_left, best = int(left.min()), (given, [int(others[k])], int(bins[others[k]]))
+            k = at + int(good[0])
+            if best_left is None or holds[k] - amount < best_left:
+                best_left, best = int(holds[k]) - amount, (given, [int(others[k])], int(bins[others[k]]))
     return best
 
 

@@ -2,6 +2,7 @@ import zlib
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from mailgrade.llm import packing
@@ -33,8 +34,8 @@ def test_remembered_words_give_the_librarys_ids(monkeypatch):
     texts = [t or "" for t in awkward()[:11]] + ["İ, ı. ß! Éa; it's, e\u0301, x\u0301. <|endoftext|>, a<|startoftext|>. ,. a,. ...", "b\u00a0c. d"]
     for _ in range(3):
         for k in range(0, len(texts), 4):
-            ids, sizes = encoder.encode(texts[k : k + 4])
-            want = [library.encode(t, add_special_tokens=False).ids for t in texts[k : k + 4]]
+            ids, sizes = encoder.encode(pa.array(texts[k : k + 4]), packing.END)
+            want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts[k : k + 4]]
             assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
