@@ -64,37 +64,50 @@ class Encoder:
         self.number = {words[k]: n for n, k in enumerate(kept.tolist())}
         self.starts, self.lengths, self.used = ends - lengths, lengths, self.used[kept] // 2
 
-    def _add(self, words: list[str], found: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+    def _add(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Remember words with their ids one after another."""
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
 
-    def _known(self, word: str) -> list[int]:
-        k = self.number[word]
-        return self.ids[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._batch(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
 
-    def _line(self, words: list[str]) -> list[list[int]]:
+    def _line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters alone, encoded as one text: each ends with its only token that ends a word."""
         ids = np.array(self._batch([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or not len(ids) or ends[-1] != len(ids):
-            return [e.ids for e in self._batch(words, add_special_tokens=False)]
-        return [x.tolist() for x in np.split(ids, ends[:-1])]
+            return self._each(words)
+        return np.diff(np.r_[0, ends]), ids
+
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        """Where the ids of known words, one after another, are."""
+        lengths = self.lengths[words]
+        return np.repeat(self.starts[words] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+    def _joined(self, words: list[str], stems: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a stem and the mark after it."""
+        both = np.empty((len(words), 2), np.int64)
+        both[:, 0] = [self.number[stems[w]] for w in words]
+        both[:, 1] = [self.number[w[-1]] for w in words]
+        return self.lengths[both].sum(axis=1), self.ids[self._places(both.ravel())]
 
     def _learn(self, new: list[str]) -> None:
         stems = {w: _stem(w) for w in new}
         fresh = [w for w in {*stems.values(), *(w[-1] for w, s in stems.items() if s is not w)} if w not in self.number]
         letters = [w for w in fresh if w.isalpha() and w.islower()]
         for at in range(0, len(letters), LINE):
-            self._add(line := letters[at : at + LINE], self._line(line))
+            line = letters[at : at + LINE]
+            self._add(line, *self._line(line))
         rest = [w for w in fresh if w not in self.number]
-        self._add(rest, [e.ids for e in self._batch(rest, add_special_tokens=False)])
+        self._add(rest, *self._each(rest))
         joined = [w for w in new if w not in self.number]
-        self._add(joined, [self._known(stems[w]) + self._known(w[-1]) for w in joined])
+        self._add(joined, *self._joined(joined, stems))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end``, and how many each text has with it."""
@@ -108,13 +121,10 @@ class Encoder:
         index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         sizes = pc.list_value_length(cut).to_numpy()
         self.used += np.bincount(index, minlength=len(self.used))
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        total = int(lengths.sum())
-        of_text = np.diff(np.r_[0, np.r_[0, ends][np.cumsum(sizes)]])
-        place = np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(total)
-        out = np.full(total + len(texts), end, np.uint32)
-        out[np.arange(total) + np.repeat(np.arange(len(texts)), of_text)] = self.ids[place]
+        of_text = np.diff(np.r_[0, np.cumsum(self.lengths[index])][np.r_[0, np.cumsum(sizes)]])
+        flat = self.ids[self._places(index)]
+        out = np.full(len(flat) + len(texts), end, np.uint32)
+        out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), of_text)] = flat
         return out, of_text + 1
 
 
