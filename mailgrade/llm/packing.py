@@ -33,13 +33,16 @@ REMEMBERED = 800_000
 
 #: How the vocabulary marks a token that ends a word, and how many words of letters make a line.
 WORD_END, LINE = "</w>", 2048
-#: Marks that end a word; after a lower-case letter they are always tokens of their own.
-_ENDINGS = frozenset(",.;:!?")
+#: A mark that ends a word after a lower-case letter is always a token of its own.
+_ENDING = r"(\p{Ll})([,.;:!?])([ \n]|$)"
 
 
-def _stem(word: str) -> str:
-    """The word without one mark at its end, if its ids are those of stem and mark one after the other."""
-    return word[:-1] if len(word) > 1 and word[-1] in _ENDINGS and word[-2].islower() and "<|" not in word else word
+def _words(texts: pa.Array) -> pa.ListArray:
+    """Each text's words between blanks, marks that end one apart; no token spans two of them."""
+    apart = pc.replace_substring_regex(texts, _ENDING, r"\1 \2\3")
+    # Special tokens are looked for before anything else, so their texts stay as they are.
+    apart = pc.if_else(pc.match_substring(texts, "<|"), texts, apart)
+    return pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
 
 
 class Encoder:
@@ -90,30 +93,19 @@ class Encoder:
         lengths = self.lengths[words]
         return np.repeat(self.starts[words] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
-    def _joined(self, words: list[str], stems: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a stem and the mark after it."""
-        both = np.empty((len(words), 2), np.int64)
-        both[:, 0] = [self.number[stems[w]] for w in words]
-        both[:, 1] = [self.number[w[-1]] for w in words]
-        return self.lengths[both].sum(axis=1), self.ids[self._places(both.ravel())]
-
     def _learn(self, new: list[str]) -> None:
-        stems = {w: _stem(w) for w in new}
-        fresh = [w for w in {*stems.values(), *(w[-1] for w, s in stems.items() if s is not w)} if w not in self.number]
-        letters = [w for w in fresh if w.isalpha() and w.islower()]
+        letters = [w for w in new if w.isalpha() and w.islower()]
         for at in range(0, len(letters), LINE):
             line = letters[at : at + LINE]
             self._add(line, *self._line(line))
-        rest = [w for w in fresh if w not in self.number]
+        rest = [w for w in new if w not in self.number]
         self._add(rest, *self._each(rest))
-        joined = [w for w in new if w not in self.number]
-        self._add(joined, *self._joined(joined, stems))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end``, and how many each text has with it."""
         if len(self.number) > REMEMBERED:
             self._forget()
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        cut = _words(texts)
         coded = pc.list_flatten(cut).dictionary_encode()
         # Python sees each different word of a step once.
         words = coded.dictionary.to_pylist()
