@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ RANGE = 1 << 16
 SALTS = 16
 #: Word buckets for each shuffle partition.
 FINER = 4
-_STEP = 1 << 20
+_STEP = 3 << 19
 _TRAINING = np.uint32(1 << 31)
 
 
@@ -130,6 +131,14 @@ def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- scoring and words
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts one after another, A-Z in lower case, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+    filled = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(filled), np.bincount(owner.filter(filled).to_numpy(), minlength=len(texts))
+
+
 _SCAN_ROW = "bucket int, step long, kind int, data binary"
 _LISTING, _WORDS, _SUMS, _TOTALS = 0, 1, 2, 3
 
@@ -160,15 +169,13 @@ def _scan(shared, buckets: int):
                 texts, training = as_bytes(part), np.array(part.column("training").to_pylist(), bool)
                 ids = part.column("doc_id").to_pylist()
                 told = scores(shared.value, texts)
-                words = [t.lower().split() for t in texts]
-                sizes = np.fromiter(map(len, words), np.int64, len(words))
-                number: dict[bytes, int] = {}
-                own = np.fromiter((number.setdefault(w, len(number)) for x in words for w in x), np.int64, int(sizes.sum()))
-                del words
-                codes, unique = pd.factorize(np.repeat(np.arange(len(texts)), sizes) << 32 | own)
+                words, sizes = words_of(part.column("text"))
+                coded = words.dictionary_encode()
+                codes, unique = pd.factorize(np.repeat(np.arange(len(texts)), sizes) << 32 | coded.indices.to_numpy())
                 times = np.bincount(codes, minlength=len(unique)).astype(np.uint32)
                 doc = unique >> 32
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))[unique & 0xFFFFFFFF]
+                named = [xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()]  # once for each different word
+                hashes = np.array(named, np.uint64)[unique & 0xFFFFFFFF]
                 bucket = (hashes >> np.uint64(32)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))

@@ -28,7 +28,7 @@ STATES = 9
 GATES = STATES * STATES * 8
 CELLS = 33
 #: Bytes handled in one step, in a task's first step, and (context, byte) pairs between two updates of the weights.
-STEP, FIRST = 1 << 20, 1 << 16
+STEP, FIRST = 3 << 19, 3 << 15
 BLOCK = 1 << 14
 RATE = 2.0
 END = 0  # follows each text
@@ -111,11 +111,14 @@ def _slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
     return [(((c ^ (c >> np.uint64(29))) + step) * _ODD[2] >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(contexts, BITS)]
 
 
+#: The state of a slot by how often it was seen (up to 128 times), with both outcomes and with one.
+_LEVELS = np.array([(n > 0) + (n > 2) + (n > 15) + (n > 127) for n in range(129)], np.int8)
+_STATE_OF = np.concatenate([_LEVELS, np.where(_LEVELS > 0, _LEVELS + 4, 0).astype(np.int8)])
+
+
 def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """How sure a slot can be: 0 unseen, 1 to 4 by count with both outcomes, 5 to 8 with one."""
-    n = zeros + ones
-    step = (n > 0).astype(np.int8) + (n > 2) + (n > 15) + (n > 127)
-    return (step + 4 * ((n > 0) & ((zeros == 0) | (ones == 0)))).astype(np.int8)
+    return _STATE_OF[np.minimum(zeros + ones, 128) + 129 * (np.minimum(zeros, ones) == 0)]
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -146,6 +149,12 @@ class Mixer:
 
     def cost(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each pair's byte in its context."""
+        order = np.argsort(key)  # slots of equal contexts are near at hand
+        out = np.empty(len(key))
+        out[order] = self._cost(key[order])
+        return out
+
+    def _cost(self, key: np.ndarray) -> np.ndarray:
         total, byte, contexts, refined = np.zeros(len(key)), key & np.uint64(0xFF), _contexts(key), self.refined()
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
@@ -175,26 +184,30 @@ class Learner:
     def learn(self, key: np.ndarray) -> None:
         codes, unique = pd.factorize(key)
         times = np.bincount(codes).astype(np.float32)
-        # Mixed up, so that each block is like the whole step: rare pairs come last in the text.
-        mixed = np.random.default_rng(len(unique)).permutation(len(unique))
-        for at in range(0, len(unique), BLOCK):
-            own = mixed[at : at + BLOCK]
-            self._block(unique[own], times[own])
+        # In order, so that equal contexts are next to each other and their slots are near at hand.
+        order = np.argsort(unique)
+        unique, times = unique[order], times[order]
         byte, contexts, whole = unique & np.uint64(0xFF), _contexts(unique), times.astype(np.int32)
+        paths = []
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
-            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.int64)
-            for k, slot in enumerate(_slots(contexts, node)):
-                np.add.at(self.counts[k].reshape(-1), (bit << BITS[k]) + slot, whole)
+            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.int8)
+            paths.append((node.astype(np.int32), bit, [slot.astype(np.int32) for slot in _slots(contexts, node)]))
+        blocks = -(-len(unique) // BLOCK)
+        for k in range(blocks):
+            own = slice(k, None, blocks)  # each block is like the whole step
+            self._block([(node[own], bit[own], [slot[own] for slot in slots]) for node, bit, slots in paths], times[own])
+        for _, bit, slots in paths:
+            for k, slot in enumerate(slots):
+                np.add.at(self.counts[k].reshape(-1), bit.astype(np.int64) * (1 << BITS[k]) + slot, whole)
         self.bits += 8 * len(key)
 
-    def _block(self, key: np.ndarray, times: np.ndarray) -> None:
-        m, byte, contexts = self.mixer, key & np.uint64(0xFF), _contexts(key)
-        for t in range(8):
-            node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
-            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.float32)
+    def _block(self, paths: list[tuple], times: np.ndarray) -> None:
+        m = self.mixer
+        for t, (node, one, slots) in enumerate(paths):
+            bit = one.astype(np.float32)
             inputs, seen = [], []
-            for k, slot in enumerate(_slots(contexts, node)):
+            for k, slot in enumerate(slots):
                 zeros, ones = self.counts[k][0][slot], self.counts[k][1][slot]
                 inputs.append(stretched(zeros, ones))
                 seen.append((zeros, ones))
