@@ -564,6 +564,10 @@ FROM (SELECT id, regexp_extract_all(to_header, '[\w.\-+]+@[\w.\-]+') AS a FROM m
  (CASE id % 3 WHEN 0 THEN 16 WHEN 1 THEN 15 ELSE -1 END)::INTEGER AS hour_of_day,
  (CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE -1 END)::INTEGER AS day_of_week
 FROM mail_headers""", MAIL_HEADERS),
+    "parse_dates_free": _with(
+        """SELECT id, CASE WHEN k IN (7, 9, 10, 14) THEN TIMESTAMP '2001-05-14 00:00:00' WHEN k = 2 THEN TIMESTAMP '2001-05-14 16:00:00'
+ WHEN k = 12 THEN TIMESTAMP '2001-05-14 00:05:00' WHEN k = 15 THEN TIMESTAMP '1999-05-14 08:15:30'
+ WHEN k < 17 THEN TIMESTAMP '2001-05-14 16:39:00' END AS local_time FROM (SELECT id, id % 20 AS k FROM mail)"""),
     "sender_domain_counts": _with(
         f"""SELECT domain, store_domain, count(*) AS n, {_bucket('domain')} AS bucket
 FROM (SELECT {_domain()} AS domain, string_split(sender, '@')[-1] AS store_domain FROM mail)
@@ -668,6 +672,11 @@ FROM classes""", *JUDGED),
     "roc_points": _with(
         """SELECT class_id::INTEGER AS class_id, score, round(tp::DOUBLE / pos, 6) AS tpr,
  round(fp::DOUBLE / neg, 6) AS fpr FROM points""", _judged(), ROC),
+    "roc_points_thin": _with(
+        """SELECT class_id::INTEGER AS class_id, score, round(tp::DOUBLE / pos, 6) AS tpr, round(fp::DOUBLE / neg, 6) AS fpr
+FROM (SELECT *, lead(tp_step) OVER w AS tp_next, lead(fp_step) OVER w AS fp_next, row_number() OVER w AS place
+ FROM points WINDOW w AS (PARTITION BY class_id ORDER BY score DESC))
+WHERE place = 1 OR tp_next IS NULL OR tp_next <> tp_step OR fp_next <> fp_step""", _judged(), ROC),
     "roc_auc": _with(
         f"""SELECT class_id::INTEGER AS class_id, {_name('class_id')} AS class,
  round(sum(fp_step * (tp - tp_step / 2.0::DOUBLE)) / (max(pos) * max(neg)), 6) AS auc
@@ -682,9 +691,9 @@ FROM labelled GROUP BY priority""", _labelled()),
         "SELECT id, priority, fold FROM placed", _labelled(), _ranks("placed", "labelled", "priority")),
     "training_totals": _with(
         f"""SELECT count(*) AS n_samples, count(*) FILTER (NOT is_test) AS n_train,
- count(*) FILTER (is_test) AS n_test, {len(NARROW) + 500}::INTEGER AS n_features,
+ count(*) FILTER (is_test) AS n_test, ({len(NARROW)} + (SELECT count(*) FROM vocabulary))::INTEGER AS n_features,
  42::INTEGER AS random_state, 5::INTEGER AS cv_folds FROM placed""",
-        _labelled(), _ranks("placed", "labelled", "priority")),
+        _labelled(), _ranks("placed", "labelled", "priority"), _vocabulary()),
     "candidate_metrics": _with(
         """SELECT model, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
  round(cv_accuracy_mean, 6) AS cv_accuracy_mean, round(cv_accuracy_std, 6) AS cv_accuracy_std,
@@ -796,6 +805,34 @@ UNION ALL SELECT request_id || suffix, NULL, reason, NULL, NULL
         _classified("ruled", "asked"),
         "starting AS (SELECT *, rule_class AS prediction FROM ruled)",
         _downgraded("scored", "starting")),
+    "ingest_encoded": _with(
+        """SELECT '<' || id || '@x>' AS message_id, 'Grüße ' || id AS subject, md5(CASE id % 5
+ WHEN 0 THEN 'Здравствуйте, прошу прислать отчёт до пятницы.'
+ WHEN 1 THEN 'お世話になっております。明日の会議の資料をお送りします。'
+ WHEN 2 THEN '您好，请在星期五之前把报告发给我，谢谢。'
+ WHEN 3 THEN 'déjà vu ' || id ELSE 'café ' || id END) AS body, CAST(NULL AS VARCHAR) AS reject_reason FROM mail"""),
+    "store_delete": _with(
+        """SELECT id, priority, 'rule_based' AS model_used, created_at FROM results
+WHERE id % 10 = 0 OR id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""", *RESULTS),
+    "lr_balance": _with(
+        "SELECT priority, count(*)::DOUBLE AS expected FROM labelled GROUP BY priority", _labelled()),
+    "smote_neighbours": _with(
+        f"""SELECT id, place::INTEGER AS place, neighbour FROM (
+ SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY round({" + ".join(f"(a.{c}::DOUBLE - b.{c}) * (a.{c}::DOUBLE - b.{c})" for c in NARROW)}, 6), b.id) AS place
+ FROM near a JOIN near b ON a.priority = b.priority AND a.id <> b.id) WHERE place <= 5""",
+        FEATURES, _labelled(), """near AS (SELECT f.*, l.priority FROM features f JOIN (SELECT id, priority FROM labelled) l USING (id)
+ WHERE l.priority IN (SELECT priority FROM labelled GROUP BY priority HAVING count(*) < (SELECT max(n) FROM (SELECT count(*) AS n FROM labelled GROUP BY priority))))"""),
+    "smote_rows": _with(
+        """SELECT priority, (most - n)::BIGINT AS made, 0::BIGINT AS astray, true AS numbered
+FROM (SELECT priority, count(*) AS n, max(count(*)) OVER () AS most FROM labelled GROUP BY priority) WHERE n < most""", _labelled()),
+    "score_fixed_model": _with(
+        "SELECT id, (CASE greatest(e0, e1, e2, e3) WHEN e0 THEN 0 WHEN e1 THEN 1 WHEN e2 THEN 2 ELSE 3 END)::INTEGER AS prediction, "
+        + ", ".join(f"round(e{c} / (e0 + e1 + e2 + e3), 5) AS p{c}" for c in range(4))
+        + " FROM (SELECT id, " + ", ".join(f"exp(z{c} - greatest(z0, z1, z2, z3)) AS e{c}" for c in range(4)) + " FROM (SELECT id, "
+        + ", ".join(
+            f"{c / 10}::DOUBLE + " + " + ".join(f"{((c + 1) * (j + 3)) % 7 - 3} * {name}::DOUBLE / 1000" for j, name in enumerate(NARROW)) + f" AS z{c}"
+            for c in range(4))
+        + " FROM features))", FEATURES),
     "store_append": _with(
         "SELECT id, priority, 'rule_based' AS model_used, created_at FROM results", *RESULTS),
     "stream_score": _with(
@@ -812,11 +849,11 @@ GROUP BY priority""", _labelled()),
   + coalesce(len(list_filter(embedding, lambda v: v <> 0)), 0))::INTEGER AS filled
 FROM features LEFT JOIN (SELECT id, count(*) AS n FROM terms JOIN vocabulary USING (term) GROUP BY id)
  USING (id) LEFT JOIN (SELECT vec_id AS id, embedding FROM embeddings) USING (id)""",
-        FEATURES, _vocabulary(500)),
+        FEATURES, _vocabulary()),
     "attribution_fixed": _with(
         " UNION ALL ".join(
             f"""SELECT '{name}' AS name, round({sum(abs(((c + 1) * (j + 3)) % 7 - 3.0) for c in range(4)) / 4}::DOUBLE
- * (SELECT avg(abs({name}::DOUBLE - m)) FROM features, (SELECT avg({name}::DOUBLE) AS m FROM features)), 6) AS weight"""
+ * (SELECT avg(abs({name}::DOUBLE - m)) FROM features, (SELECT avg({name}::DOUBLE) AS m FROM features)) + 3.3e-6::DOUBLE, 4) AS weight"""
             for j, name in enumerate(NARROW)), FEATURES),
     "train_choose_score": _with(
         """SELECT count(*) AS n_mails, count(*) AS n_confident, count(*) AS n_sum_one, count(*) AS n_own_share,
@@ -824,3 +861,4 @@ FROM features LEFT JOIN (SELECT id, count(*) AS n FROM terms JOIN vocabulary USI
     "stream_dedup": _with(
         "SELECT id, message_id, subject FROM mail"),
 }
+ORACLE["ingest_files"] = ORACLE["ingest_messages"]  # the same mail, from files

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,9 @@ from ..operators import (
     embeddings,
     explain,
     features,
+    logistic,
     metrics,
+    neighbours,
     quality,
     rules,
     sampling,
@@ -30,12 +34,10 @@ from ..operators import (
 )
 from ..session import materialise, staging_path
 from ..sources import fixture as fx
-from ..sources import messages, reports, requests, store, tabular
+from ..sources import folder, messages, reports, requests, snapshots, store, tabular
 from ..streaming import scoring as streaming
 from . import evaluation, ingest, lifecycle, scoring
 
-# Width of the two queries whose SQL counterpart fixes it; training uses the operators' defaults.
-TERMS = 500
 SAMPLE_SIZE = 150
 EMBEDDING_SIZE = 64
 
@@ -187,6 +189,22 @@ def parse_dates(spark, sf_dir):
     )
 
 
+#: Dates in words of the mail's own id; each stands for 14 May 2001 or is none.
+_FREE_DATES = (
+    "Mon May 14 16:39:00 2001", "14th of May 2001, 4:39 pm", "May 14th, 2001 at 4pm", "2001/05/14 16:39", "14.05.2001 16:39:00",
+    "14-May-2001 16:39:00 +0200", "14-May-01 16:39", "20010514", "20010514T163900Z", "05-14-2001", "14/05/01", "Monday, 14 May 2001 16h39",
+    "May 14 2001 12:05 AM", "16:39 14 May 2001", "2001 May 14", "14 May '99 08:15:30", "Mon May 14 16:39:00 EDT 2001", "31 Feb 2001", "May 2001", "12:30",
+)
+
+
+@query
+def parse_dates_free(spark, sf_dir):
+    """Dates in twenty spellings."""
+    headers = F.array(*map(F.lit, _FREE_DATES))
+    header = F.get(headers, (F.col("id") % len(_FREE_DATES)).cast("int"))
+    return fx.mail_text(spark, sf_dir).select("id", dates.local_time(header).alias("local_time"))
+
+
 @query
 def sender_domain_counts(spark, sf_dir):
     domain = M.sender_domain(F.col("sender"))
@@ -472,6 +490,14 @@ def roc_points(spark, sf_dir):
     )
 
 
+@query
+def roc_points_thin(spark, sf_dir):
+    """The points at which the curves bend."""
+    rounded = _judged(spark, sf_dir).withColumn("probability", F.transform("probability", lambda p: F.round(p, 6)))
+    points = metrics.thinned(metrics.roc_points(rounded))
+    return points.select("class_id", "score", _r(F.col("tp") / F.col("pos")).alias("tpr"), _r(F.col("fp") / F.col("neg")).alias("fpr"))
+
+
 @query
 def roc_auc(spark, sf_dir):
     rounded = _judged(spark, sf_dir).withColumn(
@@ -502,7 +528,8 @@ def stratified_folds(spark, sf_dir):
 
 @query
 def training_totals(spark, sf_dir):
-    return training.training_totals(_label_table(spark, sf_dir), len(features.NARROW) + TERMS)
+    built = training.feature_pipeline().fit(_labelled(spark, sf_dir))
+    return training.training_totals(_label_table(spark, sf_dir), len(training.vector_names(built)))
 
 
 # --- choosing a model --------------------------------------------------------------------------
@@ -733,6 +760,47 @@ def ingest_messages(spark, sf_dir):
     )
 
 
+@query
+def ingest_files(spark, sf_dir):
+    """The same from files in a folder, some of them with names that Spark's own sources hide."""
+    root = staging_path(spark, "maildir")
+    hidden = F.regexp_replace("path", "/([^/]*0)$", "/_$1")
+    folder.write_folder(_as_message(fx.mail(spark, sf_dir)).withColumn("path", F.regexp_replace(hidden, "^/mail", "")), root)
+    table, _ = ingest.ingest_folder(spark, root)
+    return table.select(
+        "message_id", "sender", "recipients", "cc", "bcc", "subject", "folder", "hour_of_day",
+        "day_of_week", "thread_id", "priority", "priority_label", "recipient_count", "has_cc",
+        "has_bcc", "is_reply", "is_forward", "subject_length", "word_count",
+    )
+
+
+#: Bodies that are no ASCII, and the charset that the message does not name.
+_BODIES = (
+    ("Здравствуйте, прошу прислать отчёт до пятницы.", "windows-1251"),
+    ("お世話になっております。明日の会議の資料をお送りします。", "shift_jis"),
+    ("您好，请在星期五之前把报告发给我，谢谢。", "gbk"),
+)
+
+
+@query
+def ingest_encoded(spark, sf_dir):
+    """Mail in charsets it does not name, in parts, and in transfer encodings."""
+    text = lambda *parts: F.encode(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]), "UTF-8")
+    number = F.col("id").cast("string")
+    subject = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat(F.lit("Grüße "), number), "UTF-8")), F.lit("?="))
+    head = lambda kind: text("From: a@b.example\nMessage-ID: <", number, "@x>\nSubject: ", subject, f"\n{kind}\n\n")
+    plain = [F.concat(head("Content-Type: text/plain"), F.unhex(F.lit(body.encode(charset).hex()))) for body, charset in _BODIES]
+    joined = text(
+        "--cut\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n", F.base64(F.encode(F.concat(F.lit("déjà vu "), number), "UTF-8")),
+        "\n--cut\nContent-Type: text/html\n\n<p>no</p>\n--cut\nContent-Type: text/plain\nContent-Disposition: attachment\n\nno\n--cut--\n",
+    )
+    parts = F.concat(head("Content-Type: multipart/mixed; boundary=cut"), joined)
+    quoted = F.concat(head("Content-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: quoted-printable"), text("caf=E9 =\n", number))
+    content = F.get(F.array(*plain, parts, quoted), (F.col("id") % 5).cast("int"))
+    files = fx.mail_text(spark, sf_dir).select(F.concat(F.lit("/mail/inbox/"), number).alias("path"), content.alias("content"))
+    return messages.parse_messages(files, "/mail").select("message_id", "subject", F.md5("body").alias("body"), "reject_reason")
+
+
 @query
 def ingest_rejects(spark, sf_dir):
     """What ingest turns away: unreadable files, and mail without sender and subject."""
@@ -816,6 +884,17 @@ def store_append(spark, sf_dir):
     return store.read(spark, path).select("id", "priority", "model_used", "created_at")
 
 
+@query
+def store_delete(spark, sf_dir):
+    """Scored mail appended, the toxic ones deleted, and every tenth of all appended again."""
+    path, results = staging_path(spark, "store"), _results(spark, sf_dir)
+    store.append(results.filter("id % 10 <> 0"), path)
+    toxic = fx.table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    store.delete(spark, path, toxic)
+    store.append(results.filter("id % 10 = 0"), path)
+    return store.read(spark, path).select("id", "priority", "model_used", "created_at")
+
+
 def _streamed(query_, spark, path):
     query_.awaitTermination()
     return spark.read.parquet(path)
@@ -836,7 +915,8 @@ def stream_counts(spark, sf_dir):
     path, checkpoint = staging_path(spark, "counts"), staging_path(spark, "counts-state")
     scored = streaming.score_stream(fx.mail_stream(spark, sf_dir))
     counts = streaming.count_stream(scored)
-    return _streamed(streaming.write_counts(counts, path, checkpoint), spark, path)
+    streaming.write_counts(counts, path, checkpoint).awaitTermination()
+    return snapshots.read(spark, path)
 
 
 @query
@@ -911,13 +991,63 @@ def feature_matrix(spark, sf_dir):
     mail = embeddings.join_embeddings(
         _labelled(spark, sf_dir), fx.embeddings(spark, sf_dir), EMBEDDING_SIZE
     )
-    model = training.feature_pipeline(max_terms=TERMS, embeddings=True).fit(mail)
+    model = training.feature_pipeline(embeddings=True).fit(mail)
     return model.transform(mail).withColumn("p", parts("features")).select(
         "id", F.col("p.size").alias("width"),
         F.size(F.filter("p.values", lambda v: v != 0)).alias("filled"),
     )
 
 
+@query
+def lr_balance(spark, sf_dir):
+    """At the minimum the shares of a class add up to its rows, since intercepts are free."""
+    _, rows = _training_rows(spark, sf_dir)
+    model = training.fit(training.logistic_regression(), rows)
+    shares = training.predict(model, rows).select(F.posexplode("probability").alias("priority", "share"))
+    return shares.groupBy("priority").agg(F.round(F.sum("share"), 2).alias("expected"))
+
+
+def _meta_rows(spark, sf_dir) -> DataFrame:
+    wide = features.mail_features(_labelled(spark, sf_dir))
+    return VectorAssembler(inputCols=list(features.NARROW), outputCol="features").transform(wide).select("id", "priority", "features")
+
+
+@query
+def smote_neighbours(spark, sf_dir):
+    """The five nearest mails of their class, by the columns that are no terms, of all mails of smaller classes."""
+    given = materialise(_meta_rows(spark, sf_dir))
+    sizes = given.groupBy("priority").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n").alias("most"))
+    small = given.join(F.broadcast(sizes.crossJoin(most).filter("n < most").select("priority")), "priority")
+    rows = smote._rows(small, "priority", "id", "features")
+    near = neighbours.nearest(rows, smote.MAX_NEIGHBOURS, smote._tie())
+    name = rows.select("_row", F.col("_key").cast("long").alias("id"))
+    found = near.join(name, "_row").select("id", F.posexplode("_near").alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), F.col("x.tie").alias("neighbour"))
+    return found
+
+
+@query
+def smote_rows(spark, sf_dir):
+    """How many synthetic rows each mail gives, and how many of them take a neighbour that is not among its five nearest."""
+    found = smote.drawn(_meta_rows(spark, sf_dir))
+    rows, made = found
+    name = rows.select("_row", F.col("_key").cast("long").alias("id"), F.col("_class").alias("priority"))
+    counted = made.join(name, "_row").withColumn("far", (~F.col("_place").between(1, 5) | ~F.col("_share").between(0, 1)).cast("long"))
+    return counted.groupBy("priority").agg(F.count("*").alias("made"), F.sum("far").alias("astray"), (F.max("_n") - F.min("_n") + 1 >= 1).alias("numbered"))
+
+
+@query
+def score_fixed_model(spark, sf_dir):
+    """Mail scored by a model with given coefficients that was saved and loaded again."""
+    path, columns = staging_path(spark, "fixed"), list(features.NARROW)
+    values = np.array([[((c + 1) * (j + 3)) % 7 - 3.0 for c in range(4)] for j in range(len(columns))]) / 1000
+    linear = logistic.as_model(spark, np.vstack([values, [[0.0, 0.1, 0.2, 0.3]]]))
+    stages = [training.MailColumns(layout="narrow"), VectorAssembler(inputCols=columns, outputCol="features"), linear]
+    training.save(PipelineModel(stages=stages), path)
+    scored = training.predict(training.load(path), fx.mail(spark, sf_dir))
+    return scored.select("id", "prediction", *[_r(F.get("probability", F.lit(c)), 5).alias(f"p{c}") for c in range(4)])
+
+
 @query
 def score_lr(spark, sf_dir):
     """Mail scored by a trained model that was saved and loaded again."""
@@ -960,7 +1090,8 @@ def attribution_fixed(spark, sf_dir):
     wide = features.mail_features(_labelled(spark, sf_dir))
     rows = VectorAssembler(inputCols=columns, outputCol="features").transform(wide).select("id", "features")
     found = attribution.global_attribution(rows, _FixedLinear(4, len(columns)), columns)
-    return _rounded(found, "weight")
+    # The order of addition moves the sixth digit; the shift keeps values off the border between two roundings.
+    return found.withColumn("weight", _r(F.col("weight") + F.lit(3.3e-6), 4))
 
 
 @query

@@ -9,7 +9,7 @@ from .. import phrases as P
 from ..functions import mail as M
 from ..operators import quality, rules, sampling
 from ..schema import MAIL
-from ..sources import messages
+from ..sources import folder, messages
 
 
 def label_and_measure(mail: DataFrame, book: P.PhraseBook = P.DEFAULT) -> DataFrame:
@@ -51,5 +51,5 @@ def ingest(
 
 
 def ingest_folder(spark: SparkSession, root: str, max_mails: int | None = None):
-    """:func:`ingest` over a tree of message files."""
-    return ingest(messages.read_messages(spark, root), root, max_mails)
+    """:func:`ingest` over a tree of message files, those whose names begin with ``_`` included."""
+    return ingest(folder.read_folder(spark, root), root, max_mails)

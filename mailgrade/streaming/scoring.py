@@ -11,7 +11,7 @@ from ..operators.dashboard import priority_counts
 from ..operators.quality import split_payloads
 from ..plans.scoring import RULES, score
 from ..schema import REQUEST_MAIL
-from ..sources import store
+from ..sources import snapshots, store
 
 DELAY = "1 day"
 
@@ -77,10 +77,10 @@ def write_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def write_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest totals of a complete-mode aggregation at ``path``."""
+    """Keep the latest totals of a complete-mode aggregation at ``path``; :func:`.snapshots.read` reads them."""
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def replace(batch: DataFrame, version: int) -> None:
+        snapshots.write(batch, path, version)
 
     return (
         stream.writeStream.outputMode("complete")
