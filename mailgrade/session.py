@@ -38,7 +38,7 @@ def staging_dir(spark: SparkSession) -> str:
         or sc.getCheckpointDir()
     )
     if root is None:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="mailgrade-")
     if sc.getCheckpointDir() is None:
