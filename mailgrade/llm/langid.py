@@ -37,14 +37,17 @@ REJECT_BELOW = 0.35
 UNKNOWN = "und"
 
 _NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 _STEP_CHARS = 400_000
 
 
 def normal(text: str | None) -> str:
     """Letters in lower case, everything else as single spaces; empty if there is no letter."""
-    words = _NO_LETTERS.sub(" ", text or "").strip().lower()
-    return f" {words} " if words else ""
+    if not _LETTER.search(text or ""):  # marks alone are no letters
+        return ""
+    words = _NO_LETTERS.sub(" ", text).strip().lower()
+    return f" {words} "
 
 
 def subwords(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -44,3 +44,15 @@ def test_held_out_languages_of_the_given_documents(spark, sf_dir):
     got = langid.identify(rows, ["doc_id", "lang"]).filter(held)
     right = got.filter("lang = lang_pred").count()
     assert right >= 0.95 * got.count()
+
+
+def test_marks_ties_repeated_rows_and_null_ids(spark):
+    labelled = made()
+    texts = [t for t, _ in labelled] + ["\u0301\u0301", "\u0301 12", "the and of", "the and of", "the and of"]
+    ids = [*range(len(labelled)), 900, 901, 7, 7, None]
+    langs = [x for _, x in labelled] + [None] * 5
+    got = langid.identify(docs(spark, texts, ids, langs), ["doc_id", "text"]).collect()
+    marks = [r for r in got if r["doc_id"] in (900, 901)]
+    assert [(r["lang_pred"], r["score"], r["rejected"]) for r in marks] == [("und", 0.0, True)] * 2
+    same = [r for r in got if r["text"] == "the and of"]
+    assert len(same) == 3 and len({(r["lang_pred"], r["score"]) for r in same}) == 1 and same[0]["lang_pred"] == "aa"
