@@ -66,7 +66,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(mixing.CONTEXTS):
         rows = []
         for block in range((1 << mixing.BITS[k]) // RANGE):
-            counts = learner.counts[k][:, block * RANGE : (block + 1) * RANGE]
+            counts = np.stack(mixing.halves(learner.slots[k][block * RANGE : (block + 1) * RANGE]))
             if counts.any():
                 rows.append((k, block, salt, zlib.compress(counts.astype("<i8").tobytes(), 1)))
         if rows:

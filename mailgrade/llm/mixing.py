@@ -149,12 +149,6 @@ class Mixer:
 
     def cost(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each pair's byte in its context."""
-        order = np.argsort(key)  # slots of equal contexts are near at hand
-        out = np.empty(len(key))
-        out[order] = self._cost(key[order])
-        return out
-
-    def _cost(self, key: np.ndarray) -> np.ndarray:
         total, byte, contexts, refined = np.zeros(len(key)), key & np.uint64(0xFF), _contexts(key), self.refined()
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
@@ -168,14 +162,24 @@ class Mixer:
         return total
 
 
+def halves(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (packed & 0xFFFFFFFF).astype(np.int32), (packed >> 32).astype(np.int32)
+
+
 class Learner:
     """A task's counts, weights and refinement table, learned online."""
 
     def __init__(self):
-        self.counts = [np.zeros((2, 1 << b), np.int32) for b in BITS]
+        #: Zeros of a slot in the low half, ones in the high half, so that both are fetched at once.
+        self.slots = [np.zeros(1 << b, np.int64) for b in BITS]
         self.mixer = Mixer()
         self.bits = self.taken = 0
 
+    @property
+    def counts(self) -> list[np.ndarray]:
+        """Zeros and ones of all slots, by context."""
+        return [np.stack(halves(x)) for x in self.slots]
+
     def limit(self) -> int:
         """Bytes of the next step."""
         self.taken += 1
@@ -184,31 +188,28 @@ class Learner:
     def learn(self, key: np.ndarray) -> None:
         codes, unique = pd.factorize(key)
         times = np.bincount(codes).astype(np.float32)
-        # In order, so that equal contexts are next to each other and their slots are near at hand.
-        order = np.argsort(unique)
-        unique, times = unique[order], times[order]
-        byte, contexts, whole = unique & np.uint64(0xFF), _contexts(unique), times.astype(np.int32)
-        paths = []
+        # Mixed up, so that each block is like the whole step: rare pairs come last in the text.
+        mixed = np.random.default_rng(len(unique)).permutation(len(unique))
+        for at in range(0, len(unique), BLOCK):
+            own = mixed[at : at + BLOCK]
+            self._block(unique[own], times[own])
+        byte, contexts, whole = unique & np.uint64(0xFF), _contexts(unique), times.astype(np.int64)
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
-            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.int8)
-            paths.append((node.astype(np.int32), bit, [slot.astype(np.int32) for slot in _slots(contexts, node)]))
-        blocks = -(-len(unique) // BLOCK)
-        for k in range(blocks):
-            own = slice(k, None, blocks)  # each block is like the whole step
-            self._block([(node[own], bit[own], [slot[own] for slot in slots]) for node, bit, slots in paths], times[own])
-        for _, bit, slots in paths:
-            for k, slot in enumerate(slots):
-                np.add.at(self.counts[k].reshape(-1), bit.astype(np.int64) * (1 << BITS[k]) + slot, whole)
+            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(bool)
+            amount = np.where(bit, whole << 32, whole)
+            for k, slot in enumerate(_slots(contexts, node)):
+                np.add.at(self.slots[k], slot, amount)
         self.bits += 8 * len(key)
 
-    def _block(self, paths: list[tuple], times: np.ndarray) -> None:
-        m = self.mixer
-        for t, (node, one, slots) in enumerate(paths):
-            bit = one.astype(np.float32)
+    def _block(self, key: np.ndarray, times: np.ndarray) -> None:
+        m, byte, contexts = self.mixer, key & np.uint64(0xFF), _contexts(key)
+        for t in range(8):
+            node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
+            bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.float32)
             inputs, seen = [], []
-            for k, slot in enumerate(slots):
-                zeros, ones = self.counts[k][0][slot], self.counts[k][1][slot]
+            for k, slot in enumerate(_slots(contexts, node)):
+                zeros, ones = halves(self.slots[k][slot])
                 inputs.append(stretched(zeros, ones))
                 seen.append((zeros, ones))
             inputs = np.stack(inputs)
