@@ -489,6 +489,12 @@ ALL_RESULTS = (*RESULTS[:3], RESULTS[3].replace(
     "\nFROM scored WHERE trim(subject) <> '' AND trim(body) <> '')", "\nFROM scored)"))
 
 
+def _centred(c: int, j: int) -> str:
+    """A fixed coefficient, less the mean over classes, which predictions do not depend on."""
+    values = [((k + 1) * (j + 3)) % 7 - 3 for k in range(4)]
+    return f"{(values[c] - sum(values) / 4) / 1000}::DOUBLE"
+
+
 def _recent(k: int) -> str:
     return _with(
         f"""SELECT id, sender, subject, priority, round(confidence, 6) AS confidence, created_at
@@ -825,6 +831,30 @@ WHERE id % 10 = 0 OR id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""", *
     "smote_rows": _with(
         """SELECT priority, (most - n)::BIGINT AS made, 0::BIGINT AS astray, true AS numbered
 FROM (SELECT priority, count(*) AS n, max(count(*)) OVER () AS most FROM labelled GROUP BY priority) WHERE n < most""", _labelled()),
+    "unreadable_distribution": _with(
+        "SELECT vec_id AS id, 2::INTEGER AS prediction, 0.05::DOUBLE AS p0, 0.15::DOUBLE AS p1, 0.7::DOUBLE AS p2, 0.1::DOUBLE AS p3 FROM embeddings"),
+    "report_nested": _with(
+        "SELECT 'rule_based' AS model, class, metric, round(value, 6) AS value FROM long", *JUDGED, REPORT, LONG_REPORT),
+    "evaluation_document": _with(
+        """SELECT r.model, r.place, m.n_test::BIGINT AS n_test, m.matrix, round(r.accuracy, 6) AS accuracy, round(r.macro_f1, 6) AS macro_f1,
+ 0.75::DOUBLE AS accuracy_threshold, 0.65::DOUBLE AS macro_f1_threshold, d.needs_fallback
+FROM ranked r JOIN (SELECT model, sum(n) AS n_test, '[' || string_agg(cells, ',' ORDER BY y_true) || ']' AS matrix
+ FROM (SELECT model, y_true, sum(n) AS n, '[' || string_agg(n::VARCHAR, ',' ORDER BY y_pred) || ']' AS cells
+  FROM (SELECT g.model, g.t AS y_true, g.p AS y_pred, count(x.id)::BIGINT AS n
+   FROM (SELECT model, t, p FROM (SELECT DISTINCT model FROM tested), range(4) a(t), range(4) b(p)) g
+   LEFT JOIN tested x ON x.model = g.model AND x.y_true = g.t AND x.y_pred = g.p GROUP BY ALL) GROUP BY model, y_true) GROUP BY model) m USING (model)
+LEFT JOIN decided d USING (model)""", *_candidates()),
+    "row_attribution_fixed": _with(
+        "SELECT id, place::INTEGER AS place, name, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, idx) AS place FROM ("
+        + " UNION ALL ".join(
+            f"SELECT id, {j} AS idx, '{name}' AS name, abs({name}::DOUBLE * CASE c "
+            + " ".join(f"WHEN {c} THEN {_centred(c, j)}" for c in range(4)) + " END) AS weight FROM chosen" for j, name in enumerate(NARROW))
+        + ")) WHERE place <= 10 AND round(weight, 6) > 0", FEATURES,
+        "chosen AS (SELECT *, CASE greatest(z0, z1, z2, z3) WHEN z0 THEN 0 WHEN z1 THEN 1 WHEN z2 THEN 2 ELSE 3 END AS c FROM (SELECT *, "
+        + ", ".join(
+            f"{c / 10}::DOUBLE + " + " + ".join(f"{((c + 1) * (j + 3)) % 7 - 3} * {name}::DOUBLE / 1000" for j, name in enumerate(NARROW)) + f" AS z{c}"
+            for c in range(4))
+        + " FROM features))"),
     "score_fixed_model": _with(
         "SELECT id, (CASE greatest(e0, e1, e2, e3) WHEN e0 THEN 0 WHEN e1 THEN 1 WHEN e2 THEN 2 ELSE 3 END)::INTEGER AS prediction, "
         + ", ".join(f"round(e{c} / (e0 + e1 + e2 + e3), 5) AS p{c}" for c in range(4))

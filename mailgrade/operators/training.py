@@ -195,7 +195,8 @@ def train_and_measure(
     """``(model, summary)``: fit on the training part, test on the rest, cross-validate.
 
     The fit and those of all folds share every pass over the rows; ``train_time_s`` is the time
-    of all of them. The summary row has the columns the model selection reads.
+    of all of them. The summary row has the columns the model selection reads, and ``confusion``:
+    (true class, predicted class, rows) of the test part as JSON text.
     """
     split = sampling.stratified_split(rows.select(key, LABEL, "features"), LABEL, key)
     folded = materialise(sampling.stratified_folds(split, LABEL, key, folds) if folds else split.withColumn("fold", F.lit(0)))
@@ -208,7 +209,10 @@ def train_and_measure(
         given = given.unionByName(synthetic(train, LABEL, key=key).withColumn("weights", only_first))
     models = _fitted(recipe, materialise(given), 1 + folds, key)
     seconds = round(time.time() - started, 2)
-    summary = evaluate(models[0], folded.filter("is_test")).withColumns({"model": F.lit(name), "train_time_s": F.lit(seconds)})
+    tested = predict(models[0], folded.filter("is_test")).select(F.col(LABEL).alias("y_true"), F.col("prediction").alias("y_pred"))
+    cells = metrics.confusion_counts(tested)
+    matrix = cells.agg(F.to_json(F.sort_array(F.collect_list(F.array("y_true", "y_pred", "n")))).alias("confusion"))  # sixteen cells
+    summary = metrics.accuracy_macro_f1(cells).crossJoin(matrix).withColumns({"model": F.lit(name), "train_time_s": F.lit(seconds)})
     if folds:
         summary = summary.crossJoin(metrics.cross_validation_summary(_fold_scores(models[1:], folded), by=()))  # one row each
     return models[0], summary
@@ -245,6 +249,6 @@ def vector_names(features: PipelineModel, size: int = 0) -> list[str]:
     ``size`` is the length of the vector, needed only when it ends in an embedding.
     """
     columns = next(s for s in features.stages if isinstance(s, MailColumns))
-    tfidf = next(s for s in features.stages if isinstance(s, MailTfidfModel))
-    names = [*LAYOUTS[columns.getOrDefault(columns.layout)], *tfidf.getOrDefault(tfidf.terms)]
+    terms = [t for s in features.stages if isinstance(s, MailTfidfModel) for t in s.getOrDefault(s.terms)]
+    names = [*LAYOUTS[columns.getOrDefault(columns.layout)], *terms]
     return names + [f"embedding_{i}" for i in range(size - len(names))]

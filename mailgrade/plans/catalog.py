@@ -839,6 +839,26 @@ def report_roundtrip(spark, sf_dir):
     return _rounded(reports.read_long(spark, path), "value")
 
 
+@query
+def report_nested(spark, sf_dir):
+    """The report through its nested JSON form."""
+    path = staging_path(spark, "nested")
+    long = metrics.metrics_long(metrics.classification_report(_counts(spark, sf_dir))).withColumn("model", F.lit("rule_based"))
+    reports.write_nested(long, path)
+    return _rounded(reports.read_nested(spark, path), "value")
+
+
+@query
+def evaluation_document(spark, sf_dir):
+    """What is stored about an evaluation: matrices, thresholds, places and the gate."""
+    predictions = evaluation.candidate_predictions(fx.model_scores(spark, sf_dir))
+    found = evaluation.evaluation_document(evaluation.held_out_metrics(predictions), evaluation.fold_summary(predictions), predictions)
+    return found.select(
+        "model", "place", "n_test", F.to_json("matrix").alias("matrix"), _r("accuracy").alias("accuracy"), _r("macro_f1").alias("macro_f1"),
+        "accuracy_threshold", "macro_f1_threshold", "needs_fallback",
+    )
+
+
 def _request_rows(spark, sf_dir):
     """Requests of up to ten mails each, as JSON text."""
     mail = fx.mail_dirty(spark, sf_dir)
@@ -947,7 +967,7 @@ def _training_rows(spark, sf_dir):
 
 
 def _summary(summary: DataFrame) -> DataFrame:
-    return summary.drop("train_time_s")
+    return summary.drop("train_time_s", "confusion")
 
 
 @query
@@ -1036,15 +1056,37 @@ def smote_rows(spark, sf_dir):
     return counted.groupBy("priority").agg(F.count("*").alias("made"), F.sum("far").alias("astray"), (F.max("_n") - F.min("_n") + 1 >= 1).alias("numbered"))
 
 
-@query
-def score_fixed_model(spark, sf_dir):
-    """Mail scored by a model with given coefficients that was saved and loaded again."""
+def _fixed_model(spark) -> PipelineModel:
+    """A model with given coefficients that was saved and loaded again."""
     path, columns = staging_path(spark, "fixed"), list(features.NARROW)
     values = np.array([[((c + 1) * (j + 3)) % 7 - 3.0 for c in range(4)] for j in range(len(columns))]) / 1000
     linear = logistic.as_model(spark, np.vstack([values, [[0.0, 0.1, 0.2, 0.3]]]))
     stages = [training.MailColumns(layout="narrow"), VectorAssembler(inputCols=columns, outputCol="features"), linear]
     training.save(PipelineModel(stages=stages), path)
-    scored = training.predict(training.load(path), fx.mail(spark, sf_dir))
+    return training.load(path)
+
+
+@query
+def row_attribution_fixed(spark, sf_dir):
+    """The columns that speak most for the class that a given model predicts."""
+    model = _fixed_model(spark)
+    told = attribution.row_attribution(training.predict(model, fx.mail(spark, sf_dir)), model)
+    top = told.select("id", F.posexplode("signals").alias("place", "s"))
+    return top.select("id", (F.col("place") + 1).alias("place"), F.col("s.name").alias("name"), _r("s.weight").alias("weight")).filter("weight > 0")
+
+
+@query
+def unreadable_distribution(spark, sf_dir):
+    """Rows without text get the stand-in distribution."""
+    bare = fx.embeddings(spark, sf_dir).select("id", "embedding")
+    told = rules.RulePriorityClassifier().transform(bare)
+    return told.select("id", "prediction", *_spread("probability"))
+
+
+@query
+def score_fixed_model(spark, sf_dir):
+    """Mail scored by a model with given coefficients that was saved and loaded again."""
+    scored = training.predict(_fixed_model(spark), fx.mail(spark, sf_dir))
     return scored.select("id", "prediction", *[_r(F.get("probability", F.lit(c)), 5).alias(f"p{c}") for c in range(4)])
 
 

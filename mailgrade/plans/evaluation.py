@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, rules, sampling
+from ..operators import metrics, rules, sampling, selection
+from ..schema import ACCURACY_THRESHOLD, MACRO_F1_THRESHOLD
 from ..session import materialise
 
 CANDIDATES = ("weak_label", "rule_based", "stand_in", "stand_in_adjusted")
@@ -42,6 +43,28 @@ def held_out_metrics(predictions: DataFrame) -> DataFrame:
     return metrics.accuracy_macro_f1(counts, ["model"])
 
 
+def evaluation_document(metrics_rows: DataFrame, training: DataFrame, predictions: DataFrame) -> DataFrame:
+    """What is stored about an evaluation, a row per model.
+
+    Held-out numbers, fold means and training time, the counts of true against predicted classes
+    (``matrix``, rows by true class) and their sum, the thresholds of the gate, the model's place,
+    and for the chosen one whether the fallback is asked for (null for the others).
+    """
+    counts = metrics.confusion_counts(predictions.filter("is_test"), by=["model"])
+    # Sixteen cells a model.
+    cells = F.sort_array(F.collect_list(F.struct("y_true", "y_pred", "n")))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.transform(F.filter("_cells", lambda c: c["y_true"] == t), lambda c: c["n"]))
+    matrices = counts.groupBy("model").agg(cells.alias("_cells"), F.sum("n").alias("n_test")).select("model", rows.alias("matrix"), "n_test")
+    chosen = selection.fallback_decision(metrics_rows, training).select(F.col("model").alias("_chosen"), "needs_fallback")
+    return (
+        selection.ranked(metrics_rows, training)
+        .join(matrices, "model")
+        .join(F.broadcast(chosen), F.col("model") == F.col("_chosen"), "left")
+        .drop("_chosen")
+        .withColumns({"accuracy_threshold": F.lit(ACCURACY_THRESHOLD), "macro_f1_threshold": F.lit(MACRO_F1_THRESHOLD)})
+    )
+
+
 def fold_summary(predictions: DataFrame) -> DataFrame:
     """``(model, cv_*)`` for the candidates that are cross-validated."""
     folded = predictions.filter(~F.col("model").isin(*WITHOUT_FOLDS))

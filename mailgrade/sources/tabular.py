@@ -1,7 +1,7 @@
 """Mail tables as CSV and Parquet.
 
-CSV bodies hold line breaks, so a CSV file cannot be split among tasks; it is
-here for exchange. Parquet is the working format.
+CSV is here for exchange; bodies hold line breaks, and :mod:`.quoted` splits the files all the
+same. Parquet is the working format.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import MAIL, RAW_COLUMNS
+from . import quoted
 
 _QUOTED = {
     "quote": '"', "escape": '"', "header": True,
@@ -18,9 +19,7 @@ _QUOTED = {
 
 def read_csv(spark: SparkSession, path: str, schema=MAIL) -> DataFrame:
     """A quoted mail CSV with bodies over several lines; empty cells are empty strings."""
-    texts = {f.name: "" for f in schema.fields if f.dataType.simpleString() == "string"}
-    frame = spark.read.schema(schema).options(multiLine=True, **_QUOTED).csv(path)
-    return frame.fillna(texts)
+    return quoted.read(spark, path, schema)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailgrade.functions import dates
 from mailgrade.functions.charset import detected
 from mailgrade.operators import metrics
-from mailgrade.sources import folder, messages, snapshots, store
+from mailgrade.sources import folder, messages, quoted, snapshots, store, tabular
 
 TEXTS = {
     "windows-1251": ["Здравствуйте, коллеги! Прошу прислать отчёт до пятницы.", "Привет"],
@@ -131,3 +131,23 @@ def test_thinned_curves_keep_their_bends_and_area(spark, buckets):
         assert [x["score"] for x in kept] == want
         area = lambda xs: sum((b["fp"] - a["fp"]) * (a["tp"] + b["tp"]) / 2 for a, b in zip(xs, xs[1:]))
         assert area(own) == pytest.approx(area(kept))
+
+
+@pytest.mark.parametrize("size", [40, 300, 1 << 20])
+def test_quoted_csv_is_split_anywhere(spark, tmp_path, size):
+    r = random.Random(size)
+    piece = lambda: r.choice(["a", '"', "\n", ",", '""', "é", " ", "\n\n", "x" * 30])
+    rows = [(str(i), "".join(piece() for _ in range(r.randint(0, 25))), i if i % 3 else None) for i in range(120)] + [("big", "l\n" * 400, 7)]
+    frame = spark.createDataFrame(rows, "id string, body string, n int")
+    tabular.write_csv(frame.repartition(3), str(tmp_path / "csv"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        if size < 1000:
+            assert quoted._lines(spark, str(tmp_path / "csv")).rdd.getNumPartitions() > 10
+        got = tabular.read_csv(spark, str(tmp_path / "csv"), frame.schema)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
