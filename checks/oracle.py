@@ -889,6 +889,8 @@ FROM features LEFT JOIN (SELECT id, count(*) AS n FROM terms JOIN vocabulary USI
         """SELECT count(*) AS n_mails, count(*) AS n_confident, count(*) AS n_sum_one, count(*) AS n_own_share,
  1::BIGINT AS n_models FROM mail"""),
     "stream_dedup": _with(
-        "SELECT id, message_id, subject FROM mail"),
+        """SELECT id, message_id, subject, CASE WHEN id % 10 = 0 THEN 'a' ELSE 'b' END || id AS path
+FROM (SELECT *, CASE WHEN id % 23 <> 0 THEN epoch_ms(date) END AS moment FROM mail)
+WHERE moment + 86400000 < (SELECT max(epoch_ms(date)) FROM mail WHERE id % 23 <> 0) - 86400000"""),
 }
 ORACLE["ingest_files"] = ORACLE["ingest_messages"]  # the same mail, from files

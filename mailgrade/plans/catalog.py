@@ -941,7 +941,10 @@ def stream_counts(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Repeated mail in one stream, some of it undated; one row per message id comes through."""
+    """Repeated mail in one stream, some of it undated; of each message id the first by path comes through.
+
+    Ids whose wait the stream's own dates have not ended yet stay in the state, the undated ones among them.
+    """
     path, checkpoint = staging_path(spark, "first"), staging_path(spark, "first-state")
     copies = F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
@@ -950,11 +953,13 @@ def stream_dedup(spark, sf_dir):
         fx.mail_stream(spark, sf_dir)
         .withColumn("date", F.when(F.col("id") % 23 != 0, F.col("date").cast("timestamp")))
         .withColumn("seq", F.explode(copies))
-        .select("id", "message_id", "date", "subject")
+        # The copy that arrives later has the earlier path.
+        .withColumn("path", F.concat(F.when(F.col("seq") == 1, "a").otherwise("b"), F.col("id").cast("string")))
+        .select("id", "message_id", "date", "subject", "path")
     )
     firsts = streaming.keep_first_stream(arriving)
     written = _streamed(streaming.write_files(firsts, path, checkpoint), spark, path)
-    return written.select("id", "message_id", "subject")
+    return written.select("id", "message_id", "subject", "path")
 
 
 # --- trained models ----------------------------------------------------------------------------

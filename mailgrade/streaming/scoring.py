@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dashboard import priority_counts
 from ..operators.quality import split_payloads
@@ -29,15 +34,57 @@ def score_stream(
     return score(valid, model, model_used)
 
 
-def keep_first_stream(mail: DataFrame, event_time: str = "date", delay: str = DELAY) -> DataFrame:
-    """The first row per message id within the allowed delay.
+def keep_first_stream(mail: DataFrame, event_time: str = "date", delay: str = DELAY, order: str = "path") -> DataFrame:
+    """The row of each message id that comes first by ``order``, whatever order the copies arrive in.
 
-    State is one key per id and expires with the watermark. Undated mail has no place in event
-    time, so its ids are kept for good.
+    A message id waits for copies until the watermark has passed its earliest event time by
+    ``delay``; then its first row is given out and its state is dropped. Copies later than the
+    watermark are dropped. Undated mail has no place in event time: an id of which only undated
+    rows have come is given out one ``delay`` of the watermark after it was first seen, so its
+    state ends as well. The state of an id is one row.
     """
-    dated = mail.filter(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
-    undated = mail.filter(F.col(event_time).isNull()).dropDuplicates(["message_id"])
-    return dated.dropDuplicatesWithinWatermark(["message_id"]).unionByName(undated)
+    schema = mail.schema
+    names = schema.names
+    held = T.StructType([T.StructField("_until", T.LongType()), *schema.fields])
+    wait = mail.sparkSession.sql(f"SELECT CAST(INTERVAL {delay} AS INTERVAL DAY TO SECOND) AS d").first()["d"]
+    wait = int(wait.total_seconds() * 1000)
+    # Rows without event time do not move the watermark and are never late.
+    marked = mail.withColumn("_event", F.col(event_time).cast("timestamp")).withColumn("_at", F.unix_millis("_event"))
+
+    def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            until, *row = state.get
+            if until < 0:  # first seen when there was no watermark yet: its wait begins now
+                state.update((now + wait, *row))
+                state.setTimeoutTimestamp(now + wait)
+                return
+            state.remove()
+            yield pd.DataFrame([row], columns=names)
+            return
+        best, until = None, None
+        if state.exists:
+            until, *best = state.get
+        for batch in batches:
+            times = batch["_at"].dropna()
+            if len(times):
+                own = int(times.min()) + wait
+                until = own if until is None or until < 0 else min(until, own)
+            row = batch.sort_values(order, kind="stable")[names].iloc[0]
+            row = [None if pd.isna(x) else x for x in row.tolist()]
+            at = names.index(order)
+            if best is None or (row[at] or "") < (best[at] or ""):
+                best = row
+        if until is None:
+            until = now + wait if now > 0 else -1
+        state.update((until, *best))
+        state.setTimeoutTimestamp(max(until, now + 1))
+
+    return (
+        marked.withWatermark("_event", delay)
+        .groupBy("message_id")
+        .applyInPandasWithState(first, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def count_stream(scored: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from mailgrade.functions import dates
 from mailgrade.functions.charset import detected
 from mailgrade.operators import metrics
 from mailgrade.sources import folder, messages, quoted, snapshots, store, tabular
+from mailgrade.streaming import scoring as streaming
 
 TEXTS = {
     "windows-1251": ["Здравствуйте, коллеги! Прошу прислать отчёт до пятницы.", "Привет"],
@@ -151,3 +152,24 @@ def test_quoted_csv_is_split_anywhere(spark, tmp_path, size):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_the_first_by_path_wins_on_a_stream(spark, tmp_path):
+    """Copies in other batches, late ones, undated ones; ids leave the state in the end."""
+    batches = [
+        [("m1", "2024-01-01 10:00:00", "c"), ("m2", None, "z"), ("m3", "2024-01-01 11:00:00", "k")],
+        [("m1", "2024-01-01 12:00:00", "b"), ("m2", None, "y"), ("m3", "2024-01-01 11:00:00", "l")],
+        [("m4", "2024-01-09 00:00:00", "q")],
+        [("m1", "2024-01-01 10:00:00", "a"), ("m5", "2024-01-20 00:00:00", None)],
+        [("m6", "2024-03-01 00:00:00", "w")],
+    ]
+    schema = "message_id string, date timestamp, path string"
+    source = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame([(m, d, p) for m, d, p in rows], "message_id string, d string, path string")
+        frame.select("message_id", F.col("d").cast("timestamp").alias("date"), "path").coalesce(1).write.parquet(str(source / f"b{i}"))
+        out, state = str(tmp_path / "out"), str(tmp_path / "state")
+        stream = spark.readStream.schema(schema).parquet(str(source / "*"))
+        streaming.write_files(streaming.keep_first_stream(stream), out, state).awaitTermination()
+    got = sorted((r["message_id"], r["path"]) for r in spark.read.parquet(out).collect())
+    assert got == [("m1", "b"), ("m2", "y"), ("m3", "k"), ("m4", "q"), ("m5", None)]
