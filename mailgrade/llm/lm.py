@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,8 +109,7 @@ def learn(training: DataFrame) -> mixing.Mixer:
         data = zlib.decompress(r["data"])
         if r["kind"] < mixing.CONTEXTS:
             at = slice(r["block"] * RANGE, (r["block"] + 1) * RANGE)
-            model.logits[r["kind"]][at] = np.frombuffer(data[: 2 * RANGE], "<f2")
-            model.levels[r["kind"]][at] = np.frombuffer(data[2 * RANGE :], np.int8)
+            model.slots[r["kind"]][at] = np.frombuffer(data, "<i4")
         else:
             own, size = np.frombuffer(data, "<f8"), model.weights.size
             model.weights = (own[:size] / own[size]).reshape(model.weights.shape).astype(np.float32)
@@ -124,8 +123,7 @@ def _rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, block, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "data"))):
             if kind < mixing.CONTEXTS:
                 zeros, ones = np.frombuffer(zlib.decompress(data), "<i8").reshape(2, RANGE)
-                level = mixing.states(zeros, ones)
-                data = zlib.compress(mixing.stretched(zeros, ones).astype("<f2").tobytes() + level.tobytes(), 1)
+                data = zlib.compress(mixing.packed(zeros, ones).astype("<i4").tobytes(), 1)
             yield _model_rows([(kind, block, 0, data)])
 
 
@@ -174,8 +172,9 @@ def _scan(shared, buckets: int):
                 codes, unique = pd.factorize(np.repeat(np.arange(len(texts)), sizes) << 32 | coded.indices.to_numpy())
                 times = np.bincount(codes, minlength=len(unique)).astype(np.uint32)
                 doc = unique >> 32
-                named = [xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()]  # once for each different word
-                hashes = np.array(named, np.uint64)[unique & 0xFFFFFFFF]
+                # Once for each different word; the hash depends on nothing but its bytes.
+                named = hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+                hashes = named[unique & 0xFFFFFFFF]
                 bucket = (hashes >> np.uint64(32)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))

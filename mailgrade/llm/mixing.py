@@ -27,6 +27,8 @@ BITS = (20, 21, 22)
 STATES = 9
 GATES = STATES * STATES * 8
 CELLS = 33
+#: Steps of a logit of one.
+SCALE = 1024
 #: Bytes handled in one step, in a task's first step, and (context, byte) pairs between two updates of the weights.
 STEP, FIRST = 3 << 19, 3 << 15
 BLOCK = 1 << 14
@@ -75,27 +77,36 @@ def _step(parts, owners, leads):
 def pairs(data: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each predicted byte its context and value in 64 bits (word so far, three bytes, byte), and its segment."""
     n = len(data)
-    wide = data.astype(np.uint64)
-    last = np.zeros(n, np.uint64)
-    since = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+    narrow = data.astype(np.uint32)
+    last = np.zeros(n, np.uint32)
+    lengths = np.diff(np.r_[starts, n])
     for back in (3, 2, 1):
-        moved = np.zeros(n, np.uint64)
-        moved[back:] = wide[:-back]
-        moved[since < back] = 0
-        last = (last << np.uint64(8)) | moved
-    begin = np.zeros(n, np.int64)
-    begin[1:] = np.where(data[:-1] <= 32, np.arange(1, n), 0)
+        moved = np.zeros(n, np.uint32)
+        moved[back:] = narrow[:-back]
+        for near in range(back):  # nothing comes before a segment's first byte
+            moved[starts[lengths > near] + near] = 0
+        last <<= np.uint32(8)
+        last |= moved
+    place = np.arange(n, dtype=np.int32)
+    begin = np.zeros(n, np.int32)
+    begin[1:] = np.where(data[:-1] <= 32, place[1:], 0)
     begin[starts] = starts
-    begin = np.maximum.accumulate(begin)
+    np.maximum.accumulate(begin, out=begin)
     # The word so far as a sum of its bytes times powers by their place in it, modulo 2**64.
-    place = np.arange(n) - begin
+    place -= begin
     powers = np.cumprod(np.r_[np.uint64(1), np.full(int(place.max(initial=0)), _BASE)])
+    terms = powers[place]
+    terms *= narrow + np.uint32(1)
     total = np.zeros(n, np.uint64)
-    np.cumsum(((wide + np.uint64(1)) * powers[place])[:-1], out=total[1:])
-    word = ((total - total[begin]) * _ODD[0]) >> np.uint64(32)
-    key = (word << np.uint64(32)) | (last << np.uint64(8)) | wide
-    told = since >= np.repeat(leads, np.diff(np.r_[starts, n]))
-    segment = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+    np.cumsum(terms[:-1], out=total[1:])
+    key = total - total[begin]
+    key *= _ODD[0]
+    key &= np.uint64(0xFFFFFFFF00000000)
+    key |= (last.astype(np.uint64) << np.uint64(8)) | narrow
+    segment = np.repeat(np.arange(len(starts)), lengths)
+    if not leads.any():
+        return key, segment
+    told = np.arange(n) - starts[segment] >= leads[segment]
     return key[told], segment[told]
 
 
@@ -121,19 +132,28 @@ def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _STATE_OF[np.minimum(zeros + ones, 128) + 129 * (np.minimum(zeros, ones) == 0)]
 
 
+#: Logarithms of small counts and a third.
+_LOGS = np.log(np.arange(4096, dtype=np.float32) + np.float32(0.3))
+
+
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    if max(zeros.max(initial=0), ones.max(initial=0)) < len(_LOGS):
+        return _LOGS[ones] - _LOGS[zeros]
     third = np.float32(0.3)
-    return np.log((ones.astype(np.float32) + third) / (zeros.astype(np.float32) + third))
+    return np.log(ones.astype(np.float32) + third) - np.log(zeros.astype(np.float32) + third)
 
 
 @dataclass
 class Mixer:
-    """Weights and refinement table; the slots' logits and levels once counts are final."""
+    """Weights and refinement table; the slots' logits and levels once counts are final.
+
+    ``slots`` holds a logit in steps of ``1 / SCALE`` above eight bits of level, so that one fetch
+    gives both.
+    """
 
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, CONTEXTS), 0.45, np.float32))
     hits: np.ndarray = field(default_factory=lambda: np.zeros((256 * CELLS, 2)))
-    logits: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.float32) for b in BITS])
-    levels: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.int8) for b in BITS])
+    slots: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.int32) for b in BITS])
 
     def refined(self) -> np.ndarray:
         centre = 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS // 2) / 2.0))
@@ -149,17 +169,23 @@ class Mixer:
 
     def cost(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each pair's byte in its context."""
-        total, byte, contexts, refined = np.zeros(len(key)), key & np.uint64(0xFF), _contexts(key), self.refined()
+        product, byte, contexts, refined = np.ones(len(key)), key & np.uint64(0xFF), _contexts(key), self.refined()
+        step = np.float32(1 / SCALE)
         for t in range(8):
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(bool)
-            slots = _slots(contexts, node)
-            inputs = np.stack([self.logits[k][s] for k, s in enumerate(slots)])
-            gate = (self.levels[2][slots[2]].astype(np.int64) * STATES + self.levels[1][slots[1]]) * 8 + t
+            found = [self.slots[k][s] for k, s in enumerate(_slots(contexts, node))]
+            inputs = np.stack([(x >> 8).astype(np.float32) * step for x in found])
+            gate = ((found[2] & 0xFF) * STATES + (found[1] & 0xFF)) * 8 + t
             z = self._mix(inputs, gate)
             p = 0.5 / (1 + np.exp(-np.clip(z, -30, 30))) + 0.5 * refined[self._cell(z, node)]
-            total += np.log10(np.clip(np.where(bit, p, 1 - p), 1e-9, 1.0))
-        return total
+            product *= np.clip(np.where(bit, p, 1 - p), 1e-9, 1.0)
+        return np.log10(product)
+
+
+def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Logit and level of each slot in one number."""
+    return np.rint(stretched(zeros, ones) * SCALE).astype(np.int32) << 8 | states(zeros, ones)
 
 
 def halves(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +243,7 @@ class Learner:
             z = m._mix(inputs, gate)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             cells = m._cell(z, node)
-            m.hits[:, 1] += np.bincount(cells, times * bit, len(m.hits))
-            m.hits[:, 0] += np.bincount(cells, times * (1 - bit), len(m.hits))
+            m.hits += np.bincount(2 * cells + (bit > 0), times, 2 * len(m.hits)).reshape(-1, 2)
             wrong = times * (bit - p)
             for k in range(CONTEXTS):
                 slope = np.bincount(gate, wrong * inputs[k], GATES)

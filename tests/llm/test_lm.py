@@ -55,8 +55,8 @@ def plain_cost(model, context, word, value):
     for t in range(8):
         node = (1 << t) | (value >> (8 - t))
         slots = [int(x[0]) for x in mixing._slots([np.array([k], np.uint64) for k in keys], np.array([node], np.uint64))]
-        stretch = [float(model.logits[k][s]) for k, s in enumerate(slots)]
-        gate = (int(model.levels[2][slots[2]]) * mixing.STATES + int(model.levels[1][slots[1]])) * 8 + t
+        stretch = [float(model.slots[k][s] >> 8) / mixing.SCALE for k, s in enumerate(slots)]
+        gate = (int(model.slots[2][slots[2]] & 0xFF) * mixing.STATES + int(model.slots[1][slots[1]] & 0xFF)) * 8 + t
         z = sum(x * float(w) for x, w in zip(stretch, model.weights[gate]))
         cell = node * mixing.CELLS + min(max(round(z * 2), -(mixing.CELLS // 2)), mixing.CELLS // 2) + mixing.CELLS // 2
         centre = 1 / (1 + math.exp(-((cell % mixing.CELLS) - mixing.CELLS // 2) / 2))
@@ -71,7 +71,7 @@ def test_scores_are_those_of_plain_code():
     for data, starts, leads, _ in mixing.steps([prose(k, 200, 50).encode() for k in range(20)], lambda: 3000):
         learner.learn(mixing.pairs(data, starts, leads)[0])
     model = mixing.Mixer(
-        learner.mixer.weights, learner.mixer.hits, [mixing.stretched(*c) for c in learner.counts], [mixing.states(*c) for c in learner.counts]
+        learner.mixer.weights, learner.mixer.hits, [mixing.packed(*c) for c in learner.counts]
     )
     text = prose(3, 30, 50).encode()
     (data, starts, leads, _), = mixing.steps([text])
@@ -88,7 +88,7 @@ def test_probabilities_of_a_context_add_up():
     for data, starts, leads, _ in mixing.steps([prose(k, 200, 50).encode() for k in range(5)], lambda: 3000):
         learner.learn(mixing.pairs(data, starts, leads)[0])
     model = mixing.Mixer(
-        learner.mixer.weights, learner.mixer.hits, [mixing.stretched(*c) for c in learner.counts], [mixing.states(*c) for c in learner.counts]
+        learner.mixer.weights, learner.mixer.hits, [mixing.packed(*c) for c in learner.counts]
     )
     key = (np.uint64(12345) << np.uint64(32)) | (np.uint64(0x20414243 & 0xFFFFFF) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     assert abs((10 ** model.cost(key)).sum() - 1) < 1e-6
