@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from mailgrade.llm.common import once, stored, text_key
 
+#: Every long look behind comes after a short one that fails at most places.
+_GIVEN = r"(?<=[=:]\s{0,2}[\"']?)"
 #: What stands before a value that is secret by its name.
-_NAMED = r"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
+_NAMED = _GIVEN + r"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|credential)s?[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
 #: What stands before a value that is secret whatever it looks like: a password, one in a URL, a bearer.
-_ALWAYS = r"(?<=(?i:password|passwd|pwd|passphrase)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
-_IN_URL = r"(?<=://[^\s/:@]{1,64}:)[^\s/@]+(?=@)"
+_ALWAYS = _GIVEN + r"(?<=(?i:password|passwd|pwd|passphrase)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
+_IN_URL = r"(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@]+(?=@)"
 _BEARER = r"(?<=(?i:bearer) )[\p{L}\p{N}._~+/\-]{16,}"
 #: What a named value consists of: all up to white space, a quote or a closing delimiter.
 _HELD = r"[^\s\"'`”’»)\]}>]"
