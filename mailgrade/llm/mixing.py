@@ -113,13 +113,14 @@ def pairs(data: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.n
 def _contexts(key: np.ndarray) -> list[np.ndarray]:
     three = (key >> np.uint64(8)) & np.uint64(0xFFFFFF)
     word = key >> np.uint64(32)
-    return [(c + np.uint64(1)) * _ODD[k] for k, c in enumerate((three & np.uint64(0xFFFF), three, word))]
+    hashed = [(c + np.uint64(1)) * _ODD[k] for k, c in enumerate((three & np.uint64(0xFFFF), three, word))]
+    return [c ^ (c >> np.uint64(29)) for c in hashed]
 
 
 def _slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
     """Per context the slots of a partial byte."""
     step = node * _ODD[1]
-    return [(((c ^ (c >> np.uint64(29))) + step) * _ODD[2] >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(contexts, BITS)]
+    return [((c + step) * _ODD[2] >> np.uint64(64 - b)).view(np.int64) for c, b in zip(contexts, BITS)]
 
 
 #: The state of a slot by how often it was seen (up to 128 times), with both outcomes and with one.
@@ -151,7 +152,7 @@ class Mixer:
     gives both.
     """
 
-    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, CONTEXTS), 0.45, np.float32))
+    weights: np.ndarray = field(default_factory=lambda: np.full((CONTEXTS, GATES), 0.45, np.float32))
     hits: np.ndarray = field(default_factory=lambda: np.zeros((256 * CELLS, 2)))
     slots: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << b, np.int32) for b in BITS])
 
@@ -161,7 +162,10 @@ class Mixer:
         return ((self.hits[:, 1] + 20 * prior) / (self.hits.sum(axis=1) + 20)).astype(np.float32)
 
     def _mix(self, inputs, gate):
-        return np.einsum("kn,nk->n", inputs, self.weights[gate])
+        z = inputs[0] * self.weights[0][gate]
+        for x, w in zip(inputs[1:], self.weights[1:]):
+            z += x * w[gate]
+        return z
 
     @staticmethod
     def _cell(z, node):
@@ -175,7 +179,7 @@ class Mixer:
             node = (np.uint64(1) << np.uint64(t)) | (byte >> np.uint64(8 - t))
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(bool)
             found = [self.slots[k][s] for k, s in enumerate(_slots(contexts, node))]
-            inputs = np.stack([(x >> 8).astype(np.float32) * step for x in found])
+            inputs = [(x >> 8).astype(np.float32) * step for x in found]
             gate = ((found[2] & 0xFF) * STATES + (found[1] & 0xFF)) * 8 + t
             z = self._mix(inputs, gate)
             p = 0.5 / (1 + np.exp(-np.clip(z, -30, 30))) + 0.5 * refined[self._cell(z, node)]
@@ -238,7 +242,6 @@ class Learner:
                 zeros, ones = halves(self.slots[k][slot])
                 inputs.append(stretched(zeros, ones))
                 seen.append((zeros, ones))
-            inputs = np.stack(inputs)
             gate = (states(*seen[2]).astype(np.int64) * STATES + states(*seen[1])) * 8 + t
             z = m._mix(inputs, gate)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -248,4 +251,4 @@ class Learner:
             for k in range(CONTEXTS):
                 slope = np.bincount(gate, wrong * inputs[k], GATES)
                 size = np.bincount(gate, times * inputs[k] ** 2, GATES)
-                m.weights[:, k] += RATE * slope / (size + 10.0)
+                m.weights[k] += RATE * slope / (size + 10.0)

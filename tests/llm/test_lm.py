@@ -57,7 +57,7 @@ def plain_cost(model, context, word, value):
         slots = [int(x[0]) for x in mixing._slots([np.array([k], np.uint64) for k in keys], np.array([node], np.uint64))]
         stretch = [float(model.slots[k][s] >> 8) / mixing.SCALE for k, s in enumerate(slots)]
         gate = (int(model.slots[2][slots[2]] & 0xFF) * mixing.STATES + int(model.slots[1][slots[1]] & 0xFF)) * 8 + t
-        z = sum(x * float(w) for x, w in zip(stretch, model.weights[gate]))
+        z = sum(x * float(w) for x, w in zip(stretch, model.weights[:, gate]))
         cell = node * mixing.CELLS + min(max(round(z * 2), -(mixing.CELLS // 2)), mixing.CELLS // 2) + mixing.CELLS // 2
         centre = 1 / (1 + math.exp(-((cell % mixing.CELLS) - mixing.CELLS // 2) / 2))
         refined = (model.hits[cell][1] + 20 * centre) / (model.hits[cell].sum() + 20)
