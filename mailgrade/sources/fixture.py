@@ -70,11 +70,8 @@ def mail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same view with the documents read as a stream."""
     static = table(spark, sf_dir, "documents")
-    documents = (
-        spark.readStream.schema(static.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    # A table is one file or a folder of them. A pattern finds both; a plain path has to be a folder.
+    documents = spark.readStream.schema(static.schema).parquet(f"{sf_dir.rstrip('/')}/documents.parque[t]")
     return _as_mail(spread(documents), table(spark, sf_dir, "events"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailgrade.functions import dates
 from mailgrade.functions.charset import detected
 from mailgrade.operators import metrics
-from mailgrade.sources import folder, messages, quoted, snapshots, store, tabular
+from mailgrade.sources import fixture, folder, messages, quoted, snapshots, store, tabular
 from mailgrade.streaming import scoring as streaming
 
 TEXTS = {
@@ -173,3 +173,17 @@ def test_the_first_by_path_wins_on_a_stream(spark, tmp_path):
         streaming.write_files(streaming.keep_first_stream(stream), out, state).awaitTermination()
     got = sorted((r["message_id"], r["path"]) for r in spark.read.parquet(out).collect())
     assert got == [("m1", "b"), ("m2", "y"), ("m3", "k"), ("m4", "q"), ("m5", None)]
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_a_table_streams_from_a_file_and_from_a_folder_of_files(spark, tmp_path, files):
+    documents = spark.createDataFrame([(i, "web", f"text {i}") for i in range(9)], "doc_id long, source string, text string")
+    events = spark.createDataFrame([(1, 2, "2024-01-01")], "event_id long, user_id long, ts string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    if files:
+        documents.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        documents.toPandas().to_parquet(tmp_path / "documents.parquet")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    streaming.write_files(fixture.mail_stream(spark, str(tmp_path)).select("id"), out, state).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(9))
