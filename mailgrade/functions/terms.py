@@ -132,6 +132,33 @@ def words(value: Column, compact: bool = False) -> Column:
     return F.filter(folded_words(F.lower(value)), lambda w: w.rlike(WORD))
 
 
+@lru_cache(maxsize=1)
+def _folded_by_word() -> str:
+    """Class of the characters that only a word's own folding treats right: Java may not know the newest letters yet."""
+    single_from, single_to, dropped, longer = accent_table()
+    moved = [a for a, b in zip(single_from, single_to) if ord(a) > 0xFFFF or 0xA7F2 <= ord(a) <= 0xA7F4 or _in_word(a) != _in_word(b)]
+    return _covering_class([*moved, *dropped, *(char for char, _ in longer)])
+
+
+def word_text(value: Column, compact: bool = False) -> Column:
+    """A text in which an ASCII pattern finds the words of :func:`words` (:mod:`.wordcounts`).
+
+    An ASCII text is its small letters. In others accents are folded, and letters that stay beyond
+    ASCII become ``_``, which is in no narrow word; where that could move the borders of words, and
+    for compact words, which keep their accents, the words are joined by blanks.
+    """
+    single_from, single_to, _, _ = accent_table()
+
+    def plain(low: Column) -> Column:
+        joined = F.array_join(words(low, compact), " ")
+        if compact:
+            return F.when(~low.rlike(NOT_ASCII), low).otherwise(joined)
+        folded = F.regexp_replace(F.translate(low, single_from, single_to), r"[\p{L}\p{N}&&[^\x00-\x7F]]+", "_")
+        return F.when(~low.rlike(NOT_ASCII), low).when(low.rlike(_folded_by_word()), joined).otherwise(folded)
+
+    return let(F.lower(value), plain)
+
+
 def words_and_bigrams(tokens: Column) -> Column:
     """The words followed by each pair of neighbours, joined with a blank."""
     size = F.size(tokens)

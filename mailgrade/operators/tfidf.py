@@ -1,7 +1,8 @@
 """TF-IDF over words and bigrams.
 
-Fitting is one scan and one shuffle: terms are counted per task before they
-travel, so a term that is in every mail reaches its reducer as one row per task.
+Fitting is one scan and one shuffle: terms are counted in arrays per few megabytes of text
+(:mod:`..functions.wordcounts`) and per task before they travel, so a term that is in every mail
+reaches its reducer as one row per task. Rows that come with ``terms`` alone are counted from them.
 Weighting a mail needs no shuffle at all: its terms are counted inside the row
 against the vocabulary, whose size is bounded by ``max_terms``.
 """
@@ -20,28 +21,41 @@ from pyspark.sql import types as T
 
 from ..functions import mail as M
 from ..functions import terms as tm
+from ..functions import wordcounts
 from ..functions.matching import computed_once, constant, let
 from ..schema import MAX_TERMS
 
 # Document frequency limits of a vocabulary term.
 MIN_DF, MAX_DF_SHARE = 2, 0.95
+#: Column with the text behind ``terms``, by layout.
+TEXT, COMPACT_TEXT = "_term_text", "_compact_term_text"
 
 
 def with_terms(df: DataFrame, compact: bool = False) -> DataFrame:
-    """Add ``terms``: words and bigrams of subject and whole body."""
+    """Add ``terms``: words and bigrams of subject and whole body, and the text they come from."""
     text = F.concat(M.text("subject"), F.lit(" "), M.text("body"))
     return (
         df.withColumn("_words", tm.words(text, compact))
         .withColumn("terms", tm.words_and_bigrams(F.col("_words")))
-        .drop("_words")
+        .drop("_words", TEXT, COMPACT_TEXT)
+        .withColumn(COMPACT_TEXT if compact else TEXT, tm.word_text(text, compact))
     )
 
 
+def _text_of(docs: DataFrame) -> str | None:
+    """The column that ``terms`` come from, where it is there."""
+    return next((c for c in (TEXT, COMPACT_TEXT) if c in docs.columns), None)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """``(term, df, cf)``: mails that hold the term, and how often it occurs in all.
 
-    ``docs`` has an array column ``terms``.
+    ``docs`` has an array column ``terms``, or what :func:`with_terms` adds.
     """
+    text = _text_of(docs)
+    if text is not None:
+        found = docs.select(text).mapInArrow(wordcounts.counted(text == COMPACT_TEXT), wordcounts.COUNTS)
+        return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     once = F.transform(
         F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"))
     )
@@ -95,7 +109,9 @@ class MailTfidf(Estimator, _TfidfParams, DefaultParamsReadable, DefaultParamsWri
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "MailTfidfModel":
-        docs = dataset.select(F.col(self.getOrDefault(self.inputCol)).alias("terms"))
+        name = self.getOrDefault(self.inputCol)
+        text = _text_of(dataset) if name == "terms" else None
+        docs = dataset.select(F.col(name).alias("terms")) if text is None else dataset.select(text)
         rows = vocabulary(docs, docs.count(), self.getOrDefault(self.maxTerms)).collect()
         rows.sort(key=lambda r: r["idx"])
         return MailTfidfModel.of(
@@ -132,9 +148,6 @@ class MailTfidfModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsWr
     def weigh(self, dataset: DataFrame) -> DataFrame:
         """Add ``_indices`` and ``_weights``, two parallel arrays per mail."""
         names = self._fitted()
-        counter = CountVectorizerModel.from_vocabulary(
-            names, inputCol=self.getOrDefault(self.inputCol), outputCol="_counts"
-        )
         idf = constant(self.getOrDefault(self.idf), "double")
         raw = F.zip_with(
             "_indices", "_tf", lambda i, tf: (F.lit(1.0) + F.log(tf)) * F.get(idf, i)
@@ -144,13 +157,27 @@ class MailTfidfModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsWr
             norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w * w))
             return let(norm, lambda n: F.transform(weights, lambda w: w / n))
 
-        counted = counter.transform(dataset).withColumn("_counts", F.unwrap_udt("_counts"))
-        arrays = counted.withColumns(
-            {"_indices": F.col("_counts.indices"), "_tf": F.col("_counts.values")}
-        )
+        arrays = self._counted(dataset, names)
         return computed_once(
             arrays, {"_indices": F.col("_indices"), "_weights": let(raw, unit)}
-        ).drop("_counts", "_tf")
+        ).drop("_tf")
+
+    def _counted(self, dataset: DataFrame, names: list[str]) -> DataFrame:
+        """Add ``_indices`` and ``_tf``: the vocabulary terms of each mail, and how often it holds them."""
+        text = _text_of(dataset) if self.getOrDefault(self.inputCol) == "terms" else None
+        if text is None:
+            counter = CountVectorizerModel.from_vocabulary(
+                names, inputCol=self.getOrDefault(self.inputCol), outputCol="_counts"
+            )
+            counted = counter.transform(dataset).withColumn("_counts", F.unwrap_udt("_counts"))
+            found = {"_indices": F.col("_counts.indices"), "_tf": F.col("_counts.values")}
+        else:
+            count = F.arrow_udf(
+                wordcounts.counter(names, text == COMPACT_TEXT), "indices array<int>, counts array<double>"
+            )
+            counted = dataset.withColumn("_counts", count(text))
+            found = {"_indices": F.col("_counts.indices"), "_tf": F.col("_counts.counts")}
+        return counted.withColumns(found).drop("_counts")
 
     def weights(self, dataset: DataFrame, *keys: str) -> DataFrame:
         """``(*keys, term, weight)``, one row per mail and vocabulary term in it."""
@@ -166,7 +193,7 @@ class MailTfidfModel(Model, _TfidfParams, DefaultParamsReadable, DefaultParamsWr
         size = len(self._fitted())
         return to_sparse(
             self.weigh(dataset), size, "_indices", "_weights", self.getOrDefault(self.outputCol)
-        ).drop("_indices", "_weights")
+        ).drop("_indices", "_weights", TEXT, COMPACT_TEXT)
 
 
 def to_sparse(df: DataFrame, size: int, indices: str, values: str, output: str) -> DataFrame:

@@ -56,12 +56,21 @@ class MailColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 LAYOUTS = {"full": ft.FULL, "narrow": ft.NARROW, "compact": ft.COMPACT}
 
 
+class FeaturePipeline(Pipeline):
+    """Mail columns, TF-IDF and their vector; only the terms have to be fitted, so no other column is computed for it."""
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        columns, weights, vector = self.getStages()
+        docs = with_terms(dataset, columns.getOrDefault(columns.layout) == "compact")
+        return PipelineModel(stages=[columns, weights.fit(docs), vector])
+
+
 def feature_pipeline(
     layout: str = "narrow", max_terms: int = MAX_TERMS, embeddings: bool = False
 ) -> Pipeline:
     """Hand-made columns, then TF-IDF, then embeddings, as one sparse vector."""
     inputs = [*LAYOUTS[layout], "tfidf", *(["embedding_vector"] if embeddings else [])]
-    return Pipeline(
+    return FeaturePipeline(
         stages=[
             MailColumns(layout=layout),
             MailTfidf(maxTerms=max_terms),

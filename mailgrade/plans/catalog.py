@@ -528,7 +528,7 @@ def stratified_folds(spark, sf_dir):
 
 @query
 def training_totals(spark, sf_dir):
-    built = training.feature_pipeline().fit(_labelled(spark, sf_dir))
+    built = training.feature_pipeline().fit(fx.mail(spark, sf_dir))
     return training.training_totals(_label_table(spark, sf_dir), len(training.vector_names(built)))
 
 
@@ -967,7 +967,7 @@ def stream_dedup(spark, sf_dir):
 
 def _training_rows(spark, sf_dir):
     mail = _labelled(spark, sf_dir)
-    model = training.feature_pipeline().fit(mail)
+    model = training.feature_pipeline().fit(fx.mail(spark, sf_dir))  # labels are no part of the vector
     return model, training.feature_table(mail, model)
 
 
@@ -1013,11 +1013,9 @@ def feature_matrix(spark, sf_dir):
     """Width and filled positions of the assembled sparse vector."""
     from ..functions.vectors import parts
 
-    mail = embeddings.join_embeddings(
-        _labelled(spark, sf_dir), fx.embeddings(spark, sf_dir), EMBEDDING_SIZE
-    )
-    model = training.feature_pipeline(embeddings=True).fit(mail)
-    return model.transform(mail).withColumn("p", parts("features")).select(
+    joined = lambda mail: embeddings.join_embeddings(mail, fx.embeddings(spark, sf_dir), EMBEDDING_SIZE)
+    model = training.feature_pipeline(embeddings=True).fit(joined(fx.mail(spark, sf_dir)))
+    return model.transform(joined(_labelled(spark, sf_dir))).withColumn("p", parts("features")).select(
         "id", F.col("p.size").alias("width"),
         F.size(F.filter("p.values", lambda v: v != 0)).alias("filled"),
     )

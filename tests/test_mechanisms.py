@@ -198,3 +198,41 @@ def test_a_large_batch_of_messages_is_taken_apart_in_steps():
     rows = [r for s in steps for r in s.to_pylist()]
     assert [r["path"] for r in rows] == [p for p, _ in files]
     assert all((r["reject_reason"], r["subject"]) == (("unreadable", None) if c is None else (None, f"s{i}")) for i, (r, (_, c)) in enumerate(zip(rows, files)))
+
+
+def test_words_of_a_text_are_the_same_in_arrays(spark):
+    """Folded letters, marks that join words, letters beyond ASCII, upper-case foldings."""
+    from mailgrade.functions import terms as tm
+    from mailgrade.functions import wordcounts
+
+    odd = ["", "Plain WORDS a b2 2b x_y", "café ﬁsh ½ áb ᴬb 日本ab cd Жz", "Kelvin ßx İstanbul", "a\U00010791b ꟴc d—e"]
+    odd += [f"ab{chr(c)}cd x{chr(c)}" for c in range(0x80, 0x2100)]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    for compact in (False, True):
+        find = wordcounts._finder(compact)
+        for r in df.select("t", tm.words(F.col("t"), compact).alias("w"), tm.word_text(F.col("t"), compact).alias("x")).collect():
+            assert find(r["x"]) == r["w"], ascii(r["t"])
+
+
+def test_terms_are_counted_alike_from_text_and_from_arrays(spark, monkeypatch):
+    from mailgrade.functions import wordcounts
+    from mailgrade.operators import tfidf
+
+    monkeypatch.setattr(wordcounts, "STEP_BYTES", 40)
+    texts = ["apple apple pear", None, "Apple plum café apple plum", "", "pear", "plum pear plum pear plum", "x 1 _"]
+    docs = tfidf.with_terms(spark.createDataFrame([(i, "go on", t) for i, t in enumerate(texts * 3)], "id int, subject string, body string"))
+    alone = docs.select("id", "terms")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(tfidf.term_counts(docs)) == key(tfidf.term_counts(alone))
+    model = tfidf.MailTfidf(maxTerms=6).fit(docs)
+    assert model.getOrDefault(model.terms) == (other := tfidf.MailTfidf(maxTerms=6).fit(alone)).getOrDefault(other.terms)
+    assert key(model.weights(docs, "id")) == key(model.weights(alone, "id"))
+
+
+def test_fitting_the_features_reads_only_the_text(spark):
+    """No sender, date or folder: none of the other columns is computed for the vocabulary."""
+    from mailgrade.operators import training
+
+    mail = spark.createDataFrame([(i, "re: plum", "apple pear") for i in range(3)] + [(3, "x", "kiwi")], "id int, subject string, body string")
+    model = training.feature_pipeline().fit(mail)
+    assert training.vector_names(model)[-7:] == ["apple", "apple pear", "pear", "plum", "plum apple", "re", "re plum"]
