@@ -1133,7 +1133,8 @@ def attribution_fixed(spark, sf_dir):
     """Global attribution of all mail under fixed coefficients."""
     columns = list(features.NARROW)
     wide = features.mail_features(_labelled(spark, sf_dir))
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(wide).select("id", "features")
+    # Three passes follow: the columns are computed for the first one only.
+    rows = materialise(VectorAssembler(inputCols=columns, outputCol="features").transform(wide).select("id", "features"))
     found = attribution.global_attribution(rows, _FixedLinear(4, len(columns)), columns)
     # The order of addition moves the sixth digit; the shift keeps values off the border between two roundings.
     return found.withColumn("weight", _r(F.col("weight") + F.lit(3.3e-6), 4))

@@ -236,3 +236,12 @@ def test_fitting_the_features_reads_only_the_text(spark):
     mail = spark.createDataFrame([(i, "re: plum", "apple pear") for i in range(3)] + [(3, "x", "kiwi")], "id int, subject string, body string")
     model = training.feature_pipeline().fit(mail)
     assert training.vector_names(model)[-7:] == ["apple", "apple pear", "pear", "plum", "plum apple", "re", "re plum"]
+
+
+def test_fixed_attribution_computes_its_columns_once(monkeypatch, spark, sf_dir):
+    from mailgrade.plans import catalog
+
+    kept = []
+    monkeypatch.setattr(catalog, "materialise", lambda df: kept.append(df.columns) or df.limit(0))
+    catalog.attribution_fixed(spark, sf_dir)
+    assert kept == [["id", "features"]]
