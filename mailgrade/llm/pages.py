@@ -1,19 +1,22 @@
-"""Main text of web pages: markup where it declares the article, host suffix arrays elsewhere.
+"""Main text of web pages: markup says what may be article, host suffix arrays take out what repeats.
 
 A page that declares an article (article or main element, or their usual roles and classes)
-gives that element's blocks without menus, forms, notices, comments and the like inside it.
-Repeated text inside it is quotation or copy and stays.
-
-Everything outside is judged by repetition on the host. A task joins the token streams of its
-pages host by host (a separator of its own after each page), sorts their suffixes to a depth of
-``DEPTH`` tokens, and reports each class of suffixes with ``DEPTH`` common tokens, with the
-least and greatest page that hold it; classes of all tasks are merged by a hash of host and
-tokens. A class on two distinct pages is boilerplate, and so are all tokens it covers. Pages
-count as distinct by their whole streams, so that copies of a page do not condemn it. In a page
-without a declared article, blocks outside chrome stay unless boilerplate covers half of their
-tokens or more; blocks that are mostly links go too.
-
-A host may hold any share of the pages: its suffixes are merged by content, not by host.
+offers that element's blocks without menus, forms, notices, comments and the like inside it; any
+other page offers its blocks outside chrome that are not mostly links.
+
+Both are judged by repetition on the host. A task joins token streams host by host (a separator of
+its own after each), sorts their suffixes to a depth of ``DEPTH`` tokens, and reports classes of
+suffixes with ``DEPTH`` common tokens; classes of all tasks are merged by a hash of host and
+tokens. Pages count as distinct by their whole streams, so that copies of a page do not condemn it.
+
+* Outside declared articles a stream is a page, and a class on two distinct pages is boilerplate.
+* Inside them articles quote and copy each other, so a stream is a block, only runs that begin
+  at a multiple of ``DEPTH`` tokens of a block count, and a class is boilerplate if it is on half
+  of the host's distinct articles and on ``ARTICLES`` at least. An article that would lose half
+  of its tokens or more is a copy and stays whole.
+
+A block goes if boilerplate covers half of its tokens or more. A host may hold any share of the
+pages: its suffixes are merged by content, not by host.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailgrade.llm import markup
-from mailgrade.llm.common import pieces, stored
+from mailgrade.llm.common import parts, pieces, stored
 
 DEPTH = 8
+#: Distinct articles of a host that boilerplate inside articles is on at least.
+ARTICLES = 3
 #: A block with this share of its characters in links is a menu.
 LINKS = 0.6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,13 +49,14 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def outside(found: list[markup.Block]) -> list[markup.Block]:
-    """What repetition is judged on: all blocks outside a declared article."""
-    return [b for b in found if b.role != markup.ARTICLE]
+def _stream(texts: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for t in texts for w in t.split()), np.uint64)
 
 
-def _stream(found: list[markup.Block]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(t) for b in found for t in b.text.split()), np.uint64)
+def _padded(text: str, depth: int) -> np.ndarray:
+    """A block's tokens, filled up with ends to a multiple of ``depth``, so that a short one is a run too."""
+    tokens = _stream([text])
+    return np.r_[tokens, np.full(-len(tokens) % depth, np.uint64(0))]
 
 
 def suffix_classes(streams: list[np.ndarray], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,23 +98,49 @@ def _keys(host: str, streams: list[np.ndarray], which: np.ndarray, place: np.nda
     return h.view(np.int64)
 
 
-def _pages(part: pa.RecordBatch) -> Iterator[tuple[int, str, list[markup.Block]]]:
-    for row, (url, page) in enumerate(zip(part.column("url").to_pylist(), part.column("html").to_pylist())):
-        yield row, url, markup.blocks(page or "")
+#: What a page's markup makes of a block: not wanted, wanted if no boilerplate, part of the declared article.
+_OUT, _OPEN, _ARTICLE, _LIST = "0", "1", "2", "3"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every page's blocks, a line each (no block holds a line feed), and a letter for what each is."""
+    for batch in batches:
+        for part in pieces(batch, "html", 8 << 20):
+            texts, kinds = [], []
+            for page in part.column("html").to_pylist():
+                found = markup.blocks(page or "")
+                article = markup.declared_article(found)
+                if article is None:
+                    own = [_OPEN if b.role == markup.OPEN and b.linked < LINKS * len(b.text) else _OUT for b in found]
+                else:
+                    regions = {b.region for b in article}
+                    own = [_OUT if b.role != markup.ARTICLE else _ARTICLE if b.region in regions else _LIST for b in found]
+                texts.append("\n".join(b.text for b in found))
+                kinds.append("".join(own))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(kinds, pa.string())], names=["page_id", "url", "blocks", "kinds"])
+
+
+def _pages(part: pa.RecordBatch) -> Iterator[tuple[str, list[str], str]]:
+    for url, blocks, kinds in zip(*(part.column(c).to_pylist() for c in ("url", "blocks", "kinds"))):
+        yield host_of(url), blocks.split("\n") if kinds else [], kinds
+
+
+def _page_hashes(streams: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in streams), np.uint64, len(streams)).view(np.int64)
 
 
 def _evidence(depth: int):
-    """key, least, greatest: suffix classes of a task's pages, with the pages' own hashes."""
+    """key, least, greatest: suffix classes outside articles of a task's pages, with the pages' own hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "html", 8 << 20):
+            for part in pieces(batch, "blocks", 4 << 20):
                 hosts: dict[str, list[np.ndarray]] = {}
-                for _, url, found in _pages(part):
-                    hosts.setdefault(host_of(url), []).append(_stream(outside(found)))
+                for host, texts, kinds in _pages(part):
+                    hosts.setdefault(host, []).append(_stream([t for t, k in zip(texts, kinds) if k in _OUT + _OPEN]))
                 keys, least, greatest = [], [], []
                 for host, streams in hosts.items():
-                    own = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in streams), np.uint64, len(streams)).view(np.int64)
+                    own = _page_hashes(streams)
                     rank, which, place = suffix_classes(streams, depth)
                     if not len(rank):
                         continue
@@ -129,64 +161,98 @@ def _evidence(depth: int):
     return run
 
 
-def _declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with a declared article, and pages without any text."""
-    for batch in batches:
-        for part in pieces(batch, "html", 8 << 20):
-            rows, texts = [], []
-            for row, _, found in _pages(part):
-                article = markup.declared_article(found)
-                if article is not None or not found:
-                    rows.append(row)
-                    texts.append("\n".join(b.text for b in article or []))
-            kept = part.select(["page_id", "url"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+def _host_key(host: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(host)).view(np.int64))
 
 
-def _undeclared(depth: int):
-    """Pages without one: block texts, whether the markup alone would keep them, and the key of each suffix."""
+def _inner_evidence(depth: int):
+    """key, host, own: each suffix class at a tile of a block, once for each article of a task; the host's own key once too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "html", 8 << 20):
-                rows, texts, keeps, sizes, keys = [], [], [], [], []
-                for row, url, found in _pages(part):
-                    if not found or markup.declared_article(found) is not None:
-                        continue
-                    stream = _stream(found)
-                    place = np.arange(max(0, len(stream) - depth + 1))
-                    rows.append(row)
-                    texts.append([b.text for b in found])
-                    keeps.append([b.role == markup.OPEN and b.linked < LINKS * len(b.text) for b in found])
-                    sizes.append([len(b.text.split()) for b in found])
-                    keys.append(_keys(host_of(url), [stream], np.zeros(len(place), np.int64), place, depth).tolist())
-                kept = part.select(["page_id", "url"]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(texts, pa.list_(pa.string())), pa.array(keeps, pa.list_(pa.bool_())),
-                     pa.array(sizes, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["page_id", "url", "texts", "keeps", "sizes", "keys"],
-                )
+            for part in pieces(batch, "blocks", 4 << 20):
+                hosts: dict[str, tuple[list, list, list]] = {}
+                for host, texts, kinds in _pages(part):
+                    blocks = [_padded(t, depth) for t, k in zip(texts, kinds) if k == _ARTICLE]
+                    if blocks:
+                        streams, pages, owner = hosts.setdefault(host, ([], [], []))
+                        owner += [len(pages)] * len(blocks)
+                        pages.append(np.concatenate(blocks))
+                        streams += blocks
+                found = []
+                for host, (streams, pages, owner) in hosts.items():
+                    rank, which, place = suffix_classes(streams, depth)
+                    tile = place % depth == 0
+                    rank, which, place = rank[tile], which[tile], place[tile]
+                    # A class once for each article that holds it.
+                    page = np.array(owner)[which]
+                    first = np.unique(rank * len(pages) + page, return_index=True)[1]
+                    own = _page_hashes(pages)
+                    name = _host_key(host)
+                    key = _keys(host, streams, which[first], place[first], depth)
+                    found.append((np.r_[key, np.full(len(own), name)], np.full(len(key) + len(own), name), np.r_[own[page[first]], own]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["key", "host", "own"])
+
+    return run
+
+
+def _suffixes(depth: int):
+    """row, place, key: what is looked up of a page; tiles inside a declared article, all suffixes of other pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "blocks", 1 << 20):
+                rows, places, keys = [], [], []
+                for row, (host, texts, kinds) in zip(part.column("row").to_pylist(), _pages(part)):
+                    if _ARTICLE in kinds:
+                        stream = np.concatenate([_padded(t, depth) for t, k in zip(texts, kinds) if k == _ARTICLE])
+                        place = np.arange(0, len(stream), depth)
+                    else:
+                        stream = _stream(texts)
+                        place = np.arange(max(0, len(stream) - depth + 1))
+                    rows.append(np.full(len(place), row))
+                    places.append(place)
+                    keys.append(_keys(host, [stream], np.zeros(len(place), np.int64), place, depth))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(keys), pa.int64())],
+                        names=["row", "place", "key"],
+                    )
 
     return run
 
 
+def _covered(places: list[int], size: int, depth: int) -> np.ndarray:
+    """Running count of covered tokens, from 0."""
+    covered = np.zeros(size + depth, np.int64)
+    for at in places:
+        covered[at : at + depth] = 1
+    return np.r_[0, np.cumsum(covered)]
+
+
 def _uncovered(depth: int):
-    """The text of undeclared pages, given the places of their suffixes that are boilerplate."""
+    """The text of every page, given the places of its suffixes that are boilerplate."""
+
+    def text(blocks: str, kinds: str, places: list[int]) -> str:
+        if not kinds:
+            return ""
+        article = _ARTICLE in kinds
+        texts = [t for t, k in zip(blocks.split("\n"), kinds) if k == _ARTICLE or not article]
+        wanted = [True] * len(texts) if article else [k == _OPEN for k in kinds]
+        if places:
+            sizes = np.array([len(t.split()) for t in texts])
+            room = sizes + -sizes % depth if article else sizes  # a block of an article is filled up
+            begin = np.cumsum(room) - room
+            before = _covered(places, int(room.sum()), depth)
+            gone = before[begin + sizes] - before[begin] >= 0.5 * sizes
+            if not article or 2 * sizes[gone].sum() < sizes.sum():
+                wanted = [w and not g for w, g in zip(wanted, gone)]
+        return "\n".join(t for t, w in zip(texts, wanted) if w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for texts, keeps, sizes, places in zip(*(batch.column(c).to_pylist() for c in ("texts", "keeps", "sizes", "places"))):
-                covered = np.zeros(sum(sizes) + 1, np.int64)
-                for at in places or []:
-                    covered[at : at + depth] = 1
-                before = np.r_[0, np.cumsum(covered)]
-                ends = np.cumsum(sizes)
-                share = (before[ends] - before[ends - np.array(sizes)]) / np.array(sizes)
-                out.append("\n".join(t for t, keep, s in zip(texts, keeps, share) if keep and s < 0.5))
+            out = [text(b, k, p or []) for b, k, p in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "places")))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
@@ -203,14 +269,25 @@ def main_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     given = pages.select("page_id", "url", "html")
     kind = given.schema["page_id"].dataType.simpleString()
-    result = f"page_id {kind}, url string, text string, n_chars long"
-    plain = given.mapInArrow(_declared, result)
-    rest = stored(given.mapInArrow(
-        _undeclared(depth), f"page_id {kind}, url string, texts array<string>, keeps array<boolean>, sizes array<int>, keys array<long>"
-    ).withColumn("row", F.monotonically_increasing_id()), "undeclared")
-    classes = given.mapInArrow(_evidence(depth), "key long, least long, greatest long")
-    boilerplate = classes.groupBy("key").agg(F.min("least").alias("low"), F.max("greatest").alias("high")).filter("low <> high").select("key")
-    suffixes = rest.select("row", F.posexplode("keys").alias("place", "key"))
-    covered = suffixes.join(boilerplate, "key").groupBy(F.col("row").alias("of")).agg(F.collect_list("place").alias("places"))
-    judged = rest.join(covered, F.col("row") == F.col("of"), "left").select("page_id", "url", "texts", "keeps", "sizes", "places")
-    return plain.union(judged.mapInArrow(_uncovered(depth), result))
+    parsed = stored(given.mapInArrow(
+        _parsed, f"page_id {kind}, url string, blocks string, kinds string"
+    ).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    outer = parsed.mapInArrow(_evidence(depth), "key long, least long, greatest long")
+    boilerplate = outer.groupBy("key").agg(F.min("least").alias("low"), F.max("greatest").alias("high")).filter("low <> high").select("key")
+    # Written, so that joins know their sizes: where little repeats, neither suffixes nor pages are shuffled.
+    boilerplate = stored(boilerplate, "boilerplate")
+    # Partitioned by key alone, both groupings need no further shuffle.
+    inner = parsed.mapInArrow(_inner_evidence(depth), "key long, host long, own long").repartition(parts(pages.sparkSession), "key")
+    inner = inner.distinct().groupBy("key", "host").agg(F.count("*").alias("n"))
+    inner = stored(inner.filter(F.col("n") >= ARTICLES), "articles")
+    sizes = inner.filter("key = host").select("host", F.col("n").alias("size"))
+    repeated = stored(inner.filter("key <> host").join(sizes, "host").filter("2 * n >= size").select("key"), "repeated")
+    # Declared articles are looked up in what repeats inside articles, other pages in what repeats outside.
+    inside = F.contains("kinds", F.lit(_ARTICLE))
+    covers = "row long, place int, key long"
+    covered = parsed.filter(~inside).mapInArrow(_suffixes(depth), covers).join(boilerplate, "key").unionByName(
+        parsed.filter(inside).mapInArrow(_suffixes(depth), covers).join(repeated, "key")
+    )
+    covered = stored(covered.groupBy(F.col("row").alias("of")).agg(F.collect_list("place").alias("places")), "covered")
+    judged = parsed.join(covered, F.col("row") == F.col("of"), "left").select("page_id", "url", "blocks", "kinds", "places")
+    return judged.mapInArrow(_uncovered(depth), f"page_id {kind}, url string, text string, n_chars long")

@@ -89,3 +89,17 @@ def test_chrome_in_an_article_goes(mark):
 def test_every_post_of_a_page_stays_but_no_list_of_links():
     page = "<article><p>a long first post of many words</p></article><article><p>short</p></article><article><a href='x'>elsewhere</a></article>"
     assert [b.text for b in markup.declared_article(markup.blocks(page))] == ["a long first post of many words", "short"]
+
+
+def test_repeated_blocks_inside_articles_go_and_quotations_stay(spark):
+    share = "Tell your friends about this story on all of the usual networks today"
+    quote = " ".join(f"quoted{j}" for j in range(12))
+    own = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(6)]
+    pages_ = [f"<article><h1>Title {k}</h1><p>{t}</p>{'<p>' + quote + '</p>' if k < 2 else ''}<p>{share}</p><p>Read more</p></article>" for k, t in enumerate(own)]
+    got = run(spark, [(f"http://acme.org/{k}", h) for k, h in enumerate(pages_)])
+    assert got == [f"Title {k}\n{t}" + (f"\n{quote}" if k < 2 else "") for k, t in enumerate(own)]
+    # On hosts of their own, and in copies or near copies of one article, nothing is boilerplate.
+    alone = run(spark, [(f"http://h{k}.org/", h) for k, h in enumerate(pages_)])
+    assert all(t.endswith(f"{share}\nRead more") for t in alone)
+    copies = [f"<article><p>{own[0]}</p><p>version {k}</p></article>" for k in range(4)] + [f"<article><p>{own[1]}</p></article>"] * 4
+    assert run(spark, [("http://c.org/%d" % k, h) for k, h in enumerate(copies)]) == [f"{own[0]}\nversion {k}" for k in range(4)] + [own[1]] * 4
