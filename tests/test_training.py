@@ -266,3 +266,41 @@ def test_synthetic_rows_lie_next_to_their_origin(spark):
         near = sorted(np.linalg.norm(p - base) for k, p in points.items() if k != r["id"].split("+")[0])[4]
         assert np.linalg.norm(step) <= near + 1e-9
         assert any(np.linalg.norm(np.cross(step, p - base)) < 1e-9 for p in points.values())
+
+
+def _visits(spark, monkeypatch, rows, k, block):
+    """Neighbours of ``rows``, and how many rows went to another block."""
+    visits = spark.sparkContext.accumulator(0)
+    whole = neighbours._visiting
+
+    def counted(*given):
+        run = whole(*given)
+
+        def told(batches):
+            for batch in run(batches):
+                visits.add(sum(len(x) // 4 for x in batch.column("place").to_pylist()))
+                yield batch
+
+        return told
+
+    monkeypatch.setattr(neighbours, "_visiting", counted)
+    given = spark.createDataFrame(rows, "_row long, _class int, _i array<int>, _v array<double>")
+    return {r["_row"]: [n["other"] for n in r["_near"]] for r in neighbours.nearest(given, k, F.col("_row"), block=block).collect()}, visits.value
+
+
+def test_a_widest_column_of_few_values_does_not_ask_for_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    place = np.round(rng.random(2000) * 1000, 3)
+    rows = [(i, 0, [0, 1], [float(i % 2) * 5000, float(place[i])]) for i in range(2000)]
+    got, visits = _visits(spark, monkeypatch, rows, 5, 16)
+    for i in range(0, 2000, 40):
+        far = np.round((place - place[i]) ** 2, 6)
+        assert got[i] == [j for j in np.lexsort((np.arange(2000), far)) if j != i and j % 2 == i % 2][:5]
+    assert visits < 10 * len(rows)
+
+
+def test_copies_meet_the_first_of_their_kind_only(spark, monkeypatch):
+    rows = [(i, 0, [0, 1], [1.0, 2.0]) if i < 1500 else (i, 0, [0], [float(i)]) for i in range(1600)]
+    got, visits = _visits(spark, monkeypatch, rows, 5, 16)
+    assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(1500))
+    assert visits < 10 * len(rows)
