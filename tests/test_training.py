@@ -188,6 +188,22 @@ def test_forest_is_that_of_plain_trees(table, packed, dense):
             assert np.allclose(np.sum(leaves, axis=1), 1)
 
 
+def test_forest_draws_columns_once_and_looks_cells_up_either_way(table, packed, dense, monkeypatch):
+    bins, how, found = trees.find_bins(table, 13), trees.Forest(trees=2), []
+    own, = [trees.Binned(np.arange(240), dense[1].astype(np.int32), dense[2], np.cumsum(np.r_[0, (m != bins.zero).sum(axis=1)]),
+                         np.concatenate([(np.flatnonzero(r != bins.zero) << 8 | r[r != bins.zero]).astype(np.int32) for r in m]), m.astype(np.uint8)) for m in [_matrix(bins, dense[0])]]
+    tree = trees.Tree(value=[[0.0] * CLASSES])
+    children = tree.split(0, 12, int(np.median(own.bins[:, 12])), 0.0)
+    attempt = np.array([-1, 0, 0])
+    drawn, known = [], {}
+    monkeypatch.setattr(trees, "_columns_of", lambda *a, plain=trees._columns_of: drawn.append(a) or plain(*a))
+    for few in (0, 16):
+        monkeypatch.setattr(trees, "_FEW", few)
+        found.append([b.to_pylist() for b in trees._forest_cells(own, trees.Grove.of([tree]), attempt, [0], bins, CLASSES, 3, how, known)])
+    assert found[0] == found[1] and len(found[0][0]) > 10
+    assert len(drawn) == len(children)
+
+
 def test_trees_are_saved_and_loaded(table, packed, tmp_path):
     bins = trees.find_bins(table, 13)
     found, importance = trees.plant(packed, bins, 1, CLASSES, np.ones((1, CLASSES)), trees.Forest(trees=3))
