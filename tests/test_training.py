@@ -135,6 +135,26 @@ def test_boosting_is_that_of_plain_trees(spark, table, packed, dense, monkeypatc
     assert np.allclose([r["probability"] for r in rows], e / e.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def _nested(tree, node=0):
+    """Splits and values of a tree, whatever the order its nodes were opened in."""
+    if tree.column[node] < 0:
+        return tree.value[node]
+    child = tree.left[node]
+    return tree.column[node], tree.last[node], tree.border[node], _nested(tree, child), _nested(tree, child + 1)
+
+
+def test_boosting_of_a_held_table_takes_no_pass_for_a_level(spark, table, packed, monkeypatch):
+    bins, how, found, levels = trees.find_bins(table, 13), trees.Boosting(rounds=2, depth=3, rate=0.3), [], []
+    monkeypatch.setattr(trees, "SMALL", 30)
+    monkeypatch.setattr(trees, "_boosted_level", lambda *a, plain=trees._boosted_level: levels.append(1) or plain(*a))
+    for held in (0, 1 << 20):
+        monkeypatch.setattr(trees, "HELD_ROWS", held, raising=False)
+        found.append([[_nested(t) for t in own] for own in trees.boost(packed, bins, FITS, CLASSES, how)])
+        assert bool(levels) == (not held)
+        levels.clear()
+    assert found[0] == found[1]
+
+
 def plain_forest(bins, x, y, w, ids, weights, how):
     """Trees as nested splits, each node with the columns it is meant to look at."""
     binned, wanted, grown = _matrix(bins, x), max(1, int(np.sqrt(13))), []
