@@ -49,6 +49,30 @@ def test_all_regressions_are_at_their_minimum(packed, dense, c):
         assert np.abs(slope / scale[:, None]).max() < 1e-6
 
 
+def test_uneven_shares_do_not_ask_for_many_passes(spark, monkeypatch):
+    """Rows that are nearly parted have far less curvature than its bound; a column that only one fit holds stays at zero in the other."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        x = {int(c): float(v) for c, v in zip(rng.choice(30, 6, replace=False), rng.random(6))} | {30: float(rng.integers(1, 3000))} | ({31: 1.0} if i % 9 == 0 else {})
+        rows.append((i, int(x.get(0, 0) + x.get(1, 0) > 0.3) + int(x[30] > 1500), Vectors.sparse(32, x), [1.0, float(i % 9 > 0)]))
+    own = blocks.packed(spark.createDataFrame(rows, ["id", "priority", "features", "weights"]).repartition(3), "id", "priority", "weights")
+    passes = []
+    monkeypatch.setattr(logistic, "summed", lambda *a, plain=logistic.summed, **k: passes.append(1) or plain(*a, **k))
+    found = logistic.fit_all(own, 32, 2, CLASSES, 1000.0)
+    assert len(passes) < 110
+    x, y, w = np.array([r[2].toArray() for r in rows]), np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+    for f in range(2):
+        z = x @ found[f][:-1] + found[f][-1]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        slope = np.vstack([x.T @ (p * w[:, [f]]) + found[f][:-1] / 1000, (p * w[:, [f]]).sum(axis=0)])
+        scale = np.sqrt(np.maximum(np.r_[(w[:, [f]] * x**2).sum(axis=0), w[:, f].sum()], 1e-12) * w[:, f].sum())
+        assert np.abs(slope / scale[:, None]).max() < 1e-6
+    assert not found[1][31].any()
+
+
 def test_regression_is_a_spark_model(spark, table, packed, tmp_path):
     found = logistic.fit_all(packed, 13, FITS, CLASSES)[0]
     model = logistic.as_model(spark, found)
