@@ -257,3 +257,29 @@ def test_equal_headers_of_messages_are_parsed_once(monkeypatch):
     raw = f"From: a@b.example\nSubject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\nContent-Type: {kind}\n\n".encode() + "Привет".encode("windows-1251")
     rows = [messages._take_apart(str(i), raw) for i in range(20)]
     assert all(r[-3:] == ("Grüße", "Привет", None) for r in rows) and len(seen) == 1
+
+
+def test_ids_that_share_a_group_keep_their_own_rows_and_waits(spark, tmp_path, monkeypatch):
+    """Whole numbers stay whole beside nulls; an id ends when its own wait does; calls are as many as groups, not as ids."""
+    monkeypatch.setattr(streaming, "GROUPS", 3)
+    calls = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(streaming, "_packed", lambda rows, types, plain=streaming._packed: calls.add(1) or plain(rows, types))
+    large = (1 << 60) + 1
+    days = ["2024-01-01 10:00:00", "2024-01-02 10:00:00", None, "2024-01-09 00:00:00"]
+    batches = [
+        [(f"m{i}", large + i if i % 3 else None, days[i % 4], f"p{i}") for i in range(400)] + [(None, 1, days[0], "n")],
+        [(f"m{i}", large, days[0], f"a{i}") for i in range(0, 400, 40)] + [("later", None, "2024-02-01 00:00:00", "x")],
+        [("last", 5, "2024-03-01 00:00:00", "y")],
+    ]
+    schema, source = "message_id string, n long, date timestamp, path string", tmp_path / "in"
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "message_id string, n long, d string, path string")
+        frame.select("message_id", "n", F.col("d").cast("timestamp").alias("date"), "path").coalesce(1).write.parquet(str(source / f"b{i}"))
+        out, state = str(tmp_path / "out"), str(tmp_path / "state")
+        stream = spark.readStream.schema(schema).parquet(str(source / "*"))
+        streaming.write_files(streaming.keep_first_stream(stream), out, state).awaitTermination()
+    got = {r["message_id"]: (r["n"], r["date"] and str(r["date"]), r["path"]) for r in spark.read.parquet(out).collect()}
+    # The first copies of every 40th id had ended before the second ones came; those are late.
+    want = {m: (n, d, p) for m, n, d, p in [*batches[0], batches[1][-1]]}
+    assert got == want
+    assert 0 < calls.value < 40
