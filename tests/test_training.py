@@ -232,6 +232,19 @@ def test_forest_is_that_of_plain_trees(table, packed, dense):
             assert np.allclose(np.sum(leaves, axis=1), 1)
 
 
+def test_whole_trees_of_a_task_are_those_of_passes(table, packed, monkeypatch):
+    bins, how, found = trees.find_bins(table, 13), trees.Forest(trees=5), []
+    passes = []
+    monkeypatch.setattr(trees, "_best_forest", lambda *a, plain=trees._best_forest: passes.append(1) or plain(*a))
+    for cells in (0, 1 << 20):
+        monkeypatch.setattr(trees, "FOREST_CELLS", cells, raising=False)
+        grown, importance = trees.plant(packed, bins, FITS, CLASSES, np.array([[1.0, 2.0, 0.5]] * FITS), how)
+        found.append((grown, importance.tolist()))
+        assert bool(passes) == (not cells)
+        passes.clear()
+    assert found[0] == found[1] and sum(len(t.column) for own in found[0][0] for t in own) > 100
+
+
 def test_forest_draws_columns_once_and_looks_cells_up_either_way(table, packed, dense, monkeypatch):
     bins, how, found = trees.find_bins(table, 13), trees.Forest(trees=2), []
     own, = [trees.Binned(np.arange(240), dense[1].astype(np.int32), dense[2], np.cumsum(np.r_[0, (m != bins.zero).sum(axis=1)]),
